@@ -2,10 +2,12 @@
 
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
+from .simhash import op10_simhash
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
