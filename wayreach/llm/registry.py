@@ -2,11 +2,13 @@
 
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
+from .quality import op7_quality
 from .simhash import op10_simhash
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op7_quality": op7_quality,
     "op10_simhash": op10_simhash,
 }
 
