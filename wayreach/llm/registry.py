@@ -1,5 +1,6 @@
 """The corpus operators' queries and the SQL that checks them."""
 
+from .digest import op9_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op7_quality
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op7_quality": op7_quality,
+    "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
 
