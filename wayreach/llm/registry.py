@@ -5,12 +5,14 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op7_quality
 from .simhash import op10_simhash
+from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_token_files": op5_token_files,
     "op7_quality": op7_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
