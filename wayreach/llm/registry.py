@@ -1,5 +1,6 @@
 """The corpus operators' queries and the SQL that checks them."""
 
+from .byte_bpe import op8_byte_bpe
 from .digest import op9_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op7_quality": op7_quality,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
