@@ -2,6 +2,7 @@
 
 from .byte_bpe import op8_byte_bpe
 from .digest import op9_fingerprints
+from .embedding_dedup import op6_embedding_dedup
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op7_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
