@@ -7,10 +7,12 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op7_quality
 from .simhash import op10_simhash
+from .suffix_dedup import op1_suffix_dedup
 from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
