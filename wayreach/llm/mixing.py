@@ -70,11 +70,11 @@ def _position(share, slope):
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, taken_first, taken_again, position.
+    """Per document: doc_id, text_hash, size, source_size, target, taken, taken_first, taken_again and positions.
 
     ``taken_first`` and ``taken_again`` are the words taken in the first and second
     pass over the source; only the document at the end of the demand is cut.
-    ``position`` is null where nothing is taken.  Null texts and texts of white
+    ``position`` is null where nothing is taken, ``position_again`` where the second pass takes nothing.  Null texts and texts of white
     space have size 0 and nothing is taken; a null source is a source of its own.
     Repeated rows are separate documents.  Sources without words have target 0.
     """
@@ -83,6 +83,7 @@ def plan_mix(docs: DataFrame) -> DataFrame:
         F.col("source").alias("__source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__order"),
+        F.xxhash64("text").alias("text_hash"),
     )
     sized = written(sized, "sizes")
     targets = source_targets(sized)
@@ -93,7 +94,7 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     over = Window.partitionBy("__bs").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__bs", "__bb", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__base"))
     rows = rows.join(sums, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__bucket") == F.col("__bb")))
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "__size")
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "text_hash")
     start = F.col("__base") + F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
     rows = rows.withColumns({"__start": start, "__goal": F.round("target").cast("long")})
     first = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__goal") - F.col("__start")))
@@ -102,6 +103,7 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     taken = F.col("taken_first") + F.col("taken_again")
     return rows.select(
         "doc_id",
+        "text_hash",
         F.col("__size").alias("size"),
         "source_size",
         "target",

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, documents, mix64
 
@@ -163,19 +164,23 @@ def is_held_out(doc_id):
     return F.coalesce(crc_mod(doc_id, 3) == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, model: FactorMachine) -> DataFrame:
-    """doc_id, score, predicted for every row; a null text scores as an empty one."""
+def score_quality(docs: DataFrame, model: FactorMachine, carry: tuple | list = ("doc_id",)) -> DataFrame:
+    """The columns in ``carry``, score and predicted for every row; a null text scores as an empty one.
+
+    Carried columns named score or predicted are not allowed; name the input's apart first.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight.astype(np.float32), model.factor.astype(np.float32)))
+    rows = docs.select(*carry, F.col("text").alias("__scored"))
+    schema = T.StructType(rows.schema.fields[:-1]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches):
         m = FactorMachine(*shared.value)
         for b in batches:
-            s = np.array([m.score(t) for t in b.column("text").to_pylist()], float)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
-            )
+            s = np.array([m.score(t) for t in b.column("__scored").to_pylist()], float)
+            kept = [b.column(i) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*carry, "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(run, schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorMachine:
