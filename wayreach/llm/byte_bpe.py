@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, written
+from .common import documents, shuffle_partitions
 
 #: Code points of text after which a block is closed; a longer document is a block of its own.
 BLOCK_CHARS = 6 << 20
@@ -83,9 +83,17 @@ class _Numbering(dict):
         return n
 
 
-def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """block, bucket, payload.  Bucket -1 holds the documents as word positions, the others the block's words."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+#: block, bucket, a mark of the block's words, number of entries, entries
+_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("mark", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())]
+_SCHEMA = "block long, bucket int, mark long, n long, payload binary"
+
+
+def split_blocks(docs: DataFrame, pattern: str, buckets: int, words_only: bool) -> DataFrame:
+    """Each block's words by bucket, or else (bucket -1) its documents as positions among these.
+
+    Both are made from the same rows in the same order; ``mark`` tells if they weren't.
+    """
+    schema = pa.schema(_FIELDS)
 
     def run(batches):
         import regex
@@ -100,19 +108,23 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             known = [w.encode("utf-8") for w in words]
             bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in known], np.int64)
             order = np.argsort(bucket, kind="stable")
+            mark = xxhash.xxh3_64_intdigest(b"\xff".join([b"%d" % len(names), *known])) >> 1
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             lengths = np.array([len(p) for p in places], "<u8")
             all_places = place[np.concatenate(places)] if lengths.sum() else np.zeros(0, np.uint32)
             ids = np.array([n or 0 for n in names], "<i8")
             nulls = np.array([n is None for n in names], "u1")
-            out = [(block, -1, len(names), _squeeze(ids, nulls, lengths, _planes(all_places)))]
+            if not words_only:
+                packed = [(block, -1, mark, len(names), _squeeze(ids, nulls, lengths, _planes(all_places)))]
+                return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*packed), schema)], schema=schema)
+            out = []
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, edges) if len(order) else []:
                 own = [known[i] for i in part.tolist()]
                 sizes = np.array([len(w) for w in own], np.uint32)
-                out.append((block, int(bucket[part[0]]), len(own), _squeeze(_planes(sizes), np.frombuffer(b"".join(own), np.uint8))))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.append((block, int(bucket[part[0]]), mark, len(own), _squeeze(_planes(sizes), np.frombuffer(b"".join(own), np.uint8))))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for b in batches:
             for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -129,12 +141,12 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "block long, bucket int, n long, payload binary")
+    return rows.mapInArrow(run, _SCHEMA)
 
 
 def encode_words(words: DataFrame, pattern: str, ranks, buckets: int) -> DataFrame:
     """The rows of ``words`` with their ids as payload; a word that many blocks hold is encoded once."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema(_FIELDS)
 
     def run(batches):
         import tiktoken
@@ -144,7 +156,7 @@ def encode_words(words: DataFrame, pattern: str, ranks, buckets: int) -> DataFra
         now = None
         for b in batches:
             out = []
-            for block, bucket, n, payload in zip(*(b.column(c).to_pylist() for c in schema.names)):
+            for block, bucket, mark, n, payload in zip(*(b.column(c).to_pylist() for c in schema.names)):
                 if bucket != now:
                     known, now = {}, bucket
                 raw = _open(payload)
@@ -156,12 +168,12 @@ def encode_words(words: DataFrame, pattern: str, ranks, buckets: int) -> DataFra
                         known[w] = np.array(encoding.encode_ordinary(w.decode("utf-8")), "<u4").tobytes()
                 ids = [known[w] for w in own]
                 counts = np.array([len(x) // 4 for x in ids], np.uint32)
-                out.append((block, bucket, n, _squeeze(_planes(counts), _planes(np.frombuffer(b"".join(ids), "<u4")))))
+                out.append((block, bucket, mark, n, _squeeze(_planes(counts), _planes(np.frombuffer(b"".join(ids), "<u4")))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, bucket int, n long, payload binary")
+    return dealt.mapInArrow(run, _SCHEMA)
 
 
 def _ranks(table: bytes) -> dict[bytes, int]:
@@ -173,14 +185,15 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
 
     ``ids_sha256`` is of the decimal ids joined by a space, ``decoded_sha256`` of the
     bytes that the ids stand for.  Null texts are empty and have no ids.  Repeated
-    rows come out as often as they came in; a null doc_id stays null.
+    rows come out as often as they came in; a null doc_id stays null.  ``docs`` is
+    read twice in the order of its partitions, so it should come from files.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(Path(ranks_path).read_bytes())
     buckets = shuffle_partitions(spark)
-    split = written(split_blocks(docs, pattern, buckets), "words")
-    ids = encode_words(split.where("bucket >= 0"), pattern, ranks, buckets)
-    met = split.where("bucket < 0").unionByName(ids).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
+    # Splitting again costs less than to write and move the positions twice.
+    ids = encode_words(split_blocks(docs, pattern, buckets, True), pattern, ranks, buckets)
+    met = split_blocks(docs, pattern, buckets, False).unionByName(ids).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * with_ids
@@ -192,14 +205,16 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
         now, documents_row, parts = None, None, []
 
         def assemble():
-            n, payload = documents_row
+            n, payload, mark = documents_row
             raw = _open(payload)
             ids, raw = raw[: 8 * n].view("<i8"), raw[8 * n :]
             nulls, raw = raw[:n].astype(bool), raw[n:]
             ends = np.cumsum(raw[: 8 * n].copy().view("<u8").astype(np.int64))
             places = _unplanes(raw[8 * n :])
             shown, meant, counts, values = [], [], [], []
-            for m, part in parts:
+            for m, part, its in parts:
+                if its != mark:
+                    raise RuntimeError("the rows of documents changed between two reads; write them first")
                 body = _open(part)
                 count = _unplanes(body[: 4 * m]).astype(np.int64)
                 value = _unplanes(body[4 * m :]).tolist()
@@ -224,15 +239,15 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
 
         for b in batches:
-            for block, bucket, n, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "payload"))):
+            for block, bucket, mark, n, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "mark", "n", "payload"))):
                 if block != now:
                     if documents_row:
                         yield batch(list(assemble()))
                     now, documents_row, parts = block, None, []
                 if bucket < 0:
-                    documents_row = (n, payload)
+                    documents_row = (n, payload, mark)
                 else:
-                    parts.append((n, payload))
+                    parts.append((n, payload, mark))
         if documents_row:
             yield batch(list(assemble()))
 
