@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -73,3 +75,15 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
+
+
+def kept_by_worker(name: str, make):
+    """What ``make()`` gives, made once in a Python worker's life and shared by its tasks.
+
+    Functions travel by value, so a module's own globals begin anew with each task.
+    One value a name is kept; a value that grows must bound itself.
+    """
+    home = sys.modules.setdefault("wayreach_worker_values", types.ModuleType("wayreach_worker_values"))
+    if name not in home.__dict__:
+        home.__dict__[name] = make()
+    return home.__dict__[name]

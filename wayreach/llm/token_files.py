@@ -16,6 +16,7 @@ import json
 import struct
 import unicodedata
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, shuffle_partitions
+from .common import documents, kept_by_worker, new_path, shuffle_partitions
 
 MAGIC = b"WPFR"
 BLOCK = 1024
@@ -109,21 +110,23 @@ class Shard:
         return out.ravel()[begin - first * self.block : end - first * self.block]
 
 
-class WordEncoder:
-    """Ids as the tokenizers library gives them; a word's ids are found once and remembered.
+class WordEncoder(dict):
+    """Ids as the tokenizers library gives them; what stands between white space is encoded once and remembered.
 
-    Where the file's normalisation and splitting are of the known form, texts of
-    Latin characters are split here and the library's model is asked for new words
-    only.  Any other text, or file, goes to the library whole.
+    Where the file's normalisation and splitting are of the known form, which never
+    joins across white space, texts of Latin characters are split here and the
+    library's model is asked for new words only.  Any other text, or file, goes to
+    the library whole.
     """
 
     KNOWN = ("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel")
-    REMEMBER = 300_000
+    REMEMBER = 600_000
 
     def __init__(self, config: str):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(config)
         spec = json.loads(config)
         steps = tuple(x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", []))
@@ -135,21 +138,27 @@ class WordEncoder:
             # What the library treats in a way of its own: added tokens, and all but Latin characters.
             self.other = regex.compile("|".join([r"[^\t-\r\x20-\x7e\xa1-ɏ]", *map(regex.escape, marks)]))
             self.bytes = _byte_letters()
-        self.cache: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = [chunk] if chunk.isalpha() else self.words.findall(chunk)
+        if len(words) > 1:  # a word with a mark is the word and the mark
+            self[chunk] = out = b"".join(map(self.__getitem__, words))
+            return out
+        ids = []
+        for w in words:
+            letters = w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode("utf-8")))
+            ids += [t.id for t in self.tokenizer.model.tokenize(letters)]
+        self[chunk] = out = array("I", ids).tobytes()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not self.known or self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        words = self.words.findall(text.lower())
-        cache = self.cache
-        if len(cache) > self.REMEMBER:
-            cache.clear()
-        for w in set(words).difference(cache):
-            letters = w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode("utf-8")))
-            cache[w] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+        if len(self) > self.REMEMBER:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), np.uint32)
 
 
 def _byte_letters() -> list[str]:
@@ -176,7 +185,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(config.value)
+        text = config.value
+        encoder = kept_by_worker(f"encoder {zlib.crc32(text.encode())}", lambda: WordEncoder(text))
         held, names, size = [], [], 0
 
         def close():
