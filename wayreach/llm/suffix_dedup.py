@@ -11,10 +11,11 @@ steps around it bring together the places that can hold the same string.
    can't be repeated; the others are candidates.
 4. A candidate run becomes a context, its windows' bytes, and goes to its anchor's
    group.  Contexts that are equal collapse to one with a count.
-5. The groups that still have different contexts are indexed, a few megabytes at a
-   time: :class:`BoundedIntervals` derives the common prefixes of neighbouring
+5. The groups' contexts are indexed, a few megabytes at a time:
+   :class:`BoundedIntervals` derives the common prefixes of neighbouring
    suffixes by breadth-first backward extension, by increasing value, and stops at
-   ``length``.  Neighbours that are undecided then share at least ``length`` bytes.
+   ``length``.  Neighbours that are undecided then share at least ``length`` bytes,
+   and windows of a class that stands for more than one place are repeated.
 6. Groups of very many contexts are salted by context; each salt's different
    windows then meet under their own hash and run through step 5 once more.
 """
@@ -424,12 +425,7 @@ def repeated_windows(rows: DataFrame, length: int, partitions: int) -> DataFrame
                         out.append((key, s + a, s + b, None, None, None, None))
 
         for salted, group in held:
-            if len(group) == 1 and not salted:
-                (context, places), = group.items()
-                # Nothing else to compare with: its windows are repeated if it is.
-                if sum(len(s) // 8 for _, s in places) > 1:
-                    say(context, places, np.ones(len(context) - length + 1, bool))
-            else:
+            if salted or sum(len(s) // 8 for places in group.values() for _, s in places) > 1:
                 several.append((salted, group))
         if several:
             lists = [[(c, sum(len(s) // 8 for _, s in p)) for c, p in g.items()] for _, g in several]
