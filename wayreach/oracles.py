@@ -316,9 +316,11 @@ def _queries() -> dict:
     out["quota"] = _quota(_STRATA.format("dem0"), "300"), "SELECT * FROM quo"
     rest = f"(SELECT * FROM dem0 WHERE NOT ({_CERTAIN}))"
     slots = f"({SAMPLE.max_demand_points} - (SELECT count(*) FROM dem0 WHERE {_CERTAIN}))"
-    out["pps_sample"] = _quota(_STRATA.format(rest), slots), f"""SELECT demand_id, CAST(population AS DOUBLE) AS design_weight, 'certeza' AS sampling_stratum, 1e0 AS inclusion_prob FROM dem0 WHERE {_CERTAIN}
+    fits = f"(SELECT count(*) FROM dem0) <= {SAMPLE.max_demand_points}"
+    own = "SELECT demand_id, CAST(population AS DOUBLE) AS design_weight, '{}' AS sampling_stratum, 1e0 AS inclusion_prob FROM dem0 WHERE "
+    out["pps_sample"] = _quota(_STRATA.format(rest), slots), f"""{own.format('censo_completo')} {fits} UNION ALL {own.format('certeza')} NOT {fits} AND ({_CERTAIN})
       UNION ALL SELECT demand_id, pop / CAST(quota AS DOUBLE), stratum, quota * population / CAST(pop AS DOUBLE) FROM (SELECT demand_id, population, ubigeo || '|' || area_type AS stratum,
-        row_number() OVER (PARTITION BY ubigeo, area_type ORDER BY -ln({_U}) / population, demand_id) AS r FROM {rest}) JOIN quo USING (stratum) WHERE r <= quota"""
+        row_number() OVER (PARTITION BY ubigeo, area_type ORDER BY -ln({_U}) / population, demand_id) AS r FROM {rest}) JOIN quo USING (stratum) WHERE r <= quota AND NOT {fits}"""
     out["thin_districts"] = {}, "SELECT * FROM dem"
     beyond = "sum(CASE WHEN t_min IS NULL OR t_min > 60 THEN design_weight ELSE 0 END)"
     out["kpi_header"] = _ordered("o", "acc", ""), f"""SELECT * FROM (SELECT {_W} AS poblacion, {_upto(60)} / {_W} AS share_cubierta, {beyond} AS poblacion_fuera, {_MEAN} AS t_medio_min FROM acc),
