@@ -51,6 +51,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .where(F.col("n") >= min_docs)
         .drop("n")
     )
+    # As a table of its own the join deals both sides anew, and a line that very many hold can be split.
+    common = written(common, "common")
     dropped = (
         lines.join(common, "hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
