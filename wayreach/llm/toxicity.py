@@ -181,11 +181,16 @@ def learn_stems(texts: list, labels: np.ndarray, least: int = 5, odds: float = 1
     known = set(INSULTS)
     once = dict(zip(texts, labels))
     texts, labels = list(once), np.array(list(once.values()), int)
-    words = [set(WORD.findall((t or "").lower())) - known for t in texts]
-    stems = [{p for w in ws for p in _prefixes(w)} for ws in words]
-    toxic = Counter(p for s, y in zip(stems, labels) if y for p in s)
+    stems = lambda t: {p for w in set(WORD.findall((t or "").lower())) - known for p in _prefixes(w)}
+    toxic = Counter()
+    for t, y in zip(texts, labels):
+        if y:
+            toxic.update(stems(t))
     toxic = {p: n for p, n in toxic.items() if n >= least}
-    clean = Counter(p for s, y in zip(stems, labels) if not y for p in s if p in toxic)
+    clean = Counter()
+    for t, y in zip(texts, labels):
+        if not y:
+            clean.update(stems(t).intersection(toxic))
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     lift = {p: (n + 0.5) / (n1 + 1) / ((clean[p] + 0.5) / (n0 + 1)) for p, n in toxic.items()}
     chosen: dict = {}
