@@ -78,7 +78,8 @@ def fingerprints(docs: DataFrame, edit_share: int = 3) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     equal = written(with_digests(docs), "digests")
-    shared = equal.groupBy("digest").count().where("count > 1").select("digest")
+    # As a table of its own the join deals both sides anew, and a digest that very many share can be split.
+    shared = written(equal.groupBy("digest").count().where("count > 1").select("digest"), "shared")
     flags = equal.join(shared, "digest", "left_semi").select(F.col("doc_id").alias("id")).distinct()
 
     parts = shuffle_partitions(spark)
