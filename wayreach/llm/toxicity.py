@@ -201,8 +201,12 @@ def learn_stems(texts: list, labels: np.ndarray, least: int = 5, odds: float = 1
     return chosen
 
 
-def fit_toxicity(texts: list, labels: np.ndarray) -> ToxicModel:
-    """Stem weights and the calibration from labelled rows; without both labels, the listed words and a start calibration."""
+def fit_toxicity(texts: list, labels: np.ndarray, toxic_share: float | None = None) -> ToxicModel:
+    """Stem weights and the calibration from labelled rows; without both labels, the listed words and a start calibration.
+
+    ``toxic_share`` is the label's share where the rows come from, if they hold
+    another: the calibration weighs them to it.
+    """
     labels = np.asarray(labels, int)
     weights = {w: ("I", LISTED, False) for w in INSULTS} | {w: ("H", LISTED, False) for w in THREATS}
     if not len(labels) or labels.min() == labels.max():
@@ -211,11 +215,14 @@ def fit_toxicity(texts: list, labels: np.ndarray) -> ToxicModel:
     model = ToxicModel(weights)
     automaton = model.automaton()
     x = np.array([_inputs(model.evidence(t, automaton), t) for t in texts])
+    own = labels.mean()
+    share = own if toxic_share is None else min(max(toxic_share, 1e-3), 1 - 1e-3)
+    weight = np.where(labels == 1, share / own, (1 - share) / (1 - own))
     c = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps on the ridge logistic loss
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(c))
-        c = c - np.linalg.solve(h, x.T @ (p - labels) + 0.05 * c)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(c))
+        c = c - np.linalg.solve(h, x.T @ (weight * (p - labels)) + 0.05 * c)
     model.calibration = tuple(float(v) for v in c)
     return model
 
@@ -224,7 +231,8 @@ def is_held_out(doc_id):
     return F.coalesce(crc_mod(doc_id, 5) == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, float | None]:
+    """(texts, labels, share of toxic among all rows to learn from)."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")).where(~is_held_out(F.col("__id")))
     by_hash = F.md5(F.col("__id").cast("string").cast("binary"))
     ids = known.where("__y = 1").orderBy(by_hash, "__id").limit(FIT_TOXIC).unionByName(
@@ -233,7 +241,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
     found = found.where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
     table = found.select("__id", "text", "__y").orderBy("__id", "text").toPandas()
-    return table["text"].tolist(), table["__y"].to_numpy()
+    share = known.where("__y IN (0, 1)").agg(F.avg("__y")).first()[0]
+    return table["text"].tolist(), table["__y"].to_numpy(), share
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
