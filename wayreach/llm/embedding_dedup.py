@@ -4,10 +4,11 @@ Vectors of a label that are equal collapse to one class first.  Coarse centroids
 residual codebooks are fitted on a bounded sample (``FIT_ROWS``); every class is
 indexed: it goes to the inverted list of its nearest centroid with a code of its
 residual.  Every class also searches: it goes to its own list and to each list whose
-dividing plane it lies near, since a neighbour within distance r on the other side
-of the plane is at most r beyond it (``probe_slack`` 1 probes every such list;
-chance makes a displacement along the plane's normal far shorter than r, so a part
-of r finds nearly all).  In a list, table look-ups give asymmetric distances to the
+dividing plane is at most ``reach`` from it.  A pair within distance r on two sides
+of a plane is missed only if both lie farther than ``reach`` from it, so r itself
+misses none; by chance a displacement of length r has a part of about r / sqrt(dims)
+along the plane's normal, and ``probe`` times that is probed.
+In a list, table look-ups give asymmetric distances to the
 stored codes; a code passes if its distance less its own quantisation error is
 within r, so this step loses nothing, and survivors are ranked by exact cosine.
 
@@ -125,11 +126,11 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(_usable()).select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double") + 0.0).alias("embedding"))
 
 
-def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, probe_slack: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, probe: float | None = 1.6) -> tuple[DataFrame, DataFrame]:
     """(classes, marks).  classes: class, label, embedding, copies, least.  marks: class, n_links, partner.
 
     A class is a label's set of equal vectors, known by its least vec_id; vectors of
-    different lengths never meet.  ``n_links`` are partial counts of vectors of
+    different lengths never meet.  ``probe`` None probes all that can hold a link.  ``n_links`` are partial counts of vectors of
     other classes within reach; rows with a ``partner`` join linked classes.
     """
     spark = vectors.sparkSession
@@ -146,7 +147,7 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, probe_slack:
     lists = int(min(MAX_LISTS, max(1, n // CLASSES_A_LIST), max(1, len(unit) // 4)))
     index = PqIndex(unit, lists)
     shared = spark.sparkContext.broadcast(index)
-    reach = radius * probe_slack + 1e-9
+    reach = radius * (1.0 if probe is None else min(1.0, probe / np.sqrt(max(1, dims)))) + 1e-9
 
     def place(batches):
         pq = shared.value
@@ -255,15 +256,15 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, probe_slack:
     return classes, written(dealt.mapInArrow(run, marks_schema), "marks")
 
 
-def embedding_dedup(vectors: DataFrame, least_cosine: float = 0.93, probe_slack: float = 0.5) -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row a vector.
+def embedding_dedup(vectors: DataFrame, least_cosine: float = 0.93, probe: float | None = 1.6) -> DataFrame:
+    """vec_id, n_links, component_id, kept: a row a vector.  ``probe`` None finds every link.
 
     Vectors that are null, zero or hold null or non-finite components, and vectors
     with a null label, link with nothing and are kept.  Equal vectors of a label
     link.  Vectors of different lengths never link.  vec_id is taken as unique;
     repeated rows link with each other as different vectors would.
     """
-    classes, marks = embedding_links(vectors, least_cosine, probe_slack)
+    classes, marks = embedding_links(vectors, least_cosine, probe)
     counts = marks.groupBy("class").agg(F.sum("n_links").alias("outer"))
     parts = connected_components(marks.where("partner is not null").select("class", "partner"), "class", "partner")
     known = classes.join(counts, "class", "left").join(parts, classes["class"] == parts.node, "left").select(
