@@ -108,18 +108,18 @@ def vectors(spark):
     return spark.createDataFrame([(*x, "a", 1) for x in rows], "vec_id long, label int, embedding array<double>, n_links string, class int")
 
 
-@pytest.mark.parametrize("slack", [0.5, 1.0])
-def test_embedding_links_against_all_pairs(spark, vectors, slack, monkeypatch):
+@pytest.mark.parametrize("probe", [1.6, None])
+def test_embedding_links_against_all_pairs(spark, vectors, probe, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CLASSES_A_LIST", 20)
     monkeypatch.setattr(embedding_dedup, "BLOCK_CLASSES", 7)
-    got = embedding_dedup.embedding_dedup(vectors, probe_slack=slack).toPandas().sort_values("vec_id")
+    got = embedding_dedup.embedding_dedup(vectors, probe=probe).toPandas().sort_values("vec_id")
     table = vectors.toPandas().sort_values("vec_id").reset_index(drop=True)
     links = links_of(table, 0.93)
     n = np.bincount(np.array(links).ravel(), minlength=len(table))
     root = components(len(table), links)
     recall = got.n_links.sum() / n.sum()
     assert recall >= 0.9 and (got.n_links.to_numpy() <= n).all()
-    if slack == 1.0:
+    if probe is None:
         assert recall == 1.0
         least = pd.Series(table.vec_id.to_numpy()).groupby(root).transform("min")
         assert (got.component_id.to_numpy() == least.to_numpy()).all()
