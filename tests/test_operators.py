@@ -264,3 +264,36 @@ def test_request_key_ignores_the_order_of_points(spark):
     a = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "lon double, lat double")
     key = lambda o, d, p="car": od.request_key("graph", p, o, d).first().key
     assert key(a, a) == key(a.orderBy(F.desc("lon")), a) != key(a, a, "foot")
+
+
+def test_backends_share_a_contract(spark):
+    from wayreach.operators import backends
+
+    o = spark.createDataFrame([(1, 0.01, 0.0, 5.0), (2, 0.5, 0.49, 5.0)], "demand_id long, lon double, lat double, snap_m double")
+    d = spark.createDataFrame([(7, 0.0, 0.0), (8, 9.0, 9.0)], "facility_id long, lon double, lat double")
+    known = spark.createDataFrame([("car", 1, 7, 3.0, 2.0, 10.0), ("foot", 1, 7, 99.0, 2.0, 10.0)], "profile string, demand_id long, facility_id long, route_minutes double, route_km double, snap_m double")
+    rows = {(r.demand_id, r.facility_id): r for r in backends.routed_pairs(backends.get_backend("precomputed", known), o, d, "car").collect()}
+    assert len(rows) == 4 and rows[1, 7].minutes == 3.0 and not rows[1, 7].imputed and rows[2, 8].imputed
+    graph_rows = backends.routed_pairs(backends.get_backend("graph", lattice(spark)), o, d, "car").collect()
+    assert len(graph_rows) == 4 and all(r.minutes is not None for r in graph_rows)
+    with pytest.raises(ValueError):
+        backends.get_backend("carrier pigeon")
+
+
+def test_elevation_lookup(spark):
+    p = spark.createDataFrame([(1, -77.123456, -12.0), (2, -70.0, -10.0)], "demand_id int, lon double, lat double")
+    known = spark.createDataFrame([("-12.00000,-77.12346", 150.0)], "point_key string, elevation_m double")
+    assert {r.demand_id: r.altitude_m for r in validation.with_elevation(p, known).collect()} == {1: 150.0, 2: None}
+    assert [r.point_key for r in validation.missing_elevations(p, known).collect()] == ["-10.00000,-70.00000"]
+
+
+def test_whole_run_writes_its_tables(spark, sf, tmp_path):
+    from wayreach.plans.run import run_all
+
+    roads = lambda points, facilities: od.with_fallback(star.routed(od.all_pairs(points, facilities)))
+    conf = replace(DEFAULT, budgets=(1, 2), cover_minutes=400.0)
+    out = run_all(star.demand(spark, sf), star.facilities(spark, sf), star.districts(spark, sf), roads, str(tmp_path), conf=conf)
+    assert out["metrics_national"].first().n_puntos == 150
+    assert (tmp_path / "metrics_district_national.csv").is_dir() and (tmp_path / "od").is_dir()
+    gains = [r.poblacion_marginal for r in out["mclp_sequence"].orderBy("orden").collect()]
+    assert gains == sorted(gains, reverse=True)

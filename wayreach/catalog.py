@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .conf import DEFAULT
 from .functions import geo, stats, text
-from .operators import graph, models, od, sampling, validation
+from .operators import backends, graph, models, od, sampling, validation
 from .plans import metrics, views
 from .plans.lineage import cut
 from .sources import star
@@ -80,6 +80,11 @@ COLUMNS = {
     "kpis": "kpi valor",
     "top_groups": "province poblacion:3 rank",
     "filtered_view": "demand_id department area_type t_min:6",
+    "facility_markers": "facility_id category lon:6 lat:6",
+    "elevations": "demand_id altitude_m:3",
+    "missing_elevations": "point_key",
+    "ways_in_scope": "way_id fclass",
+    "graph_od": "demand_id facility_id minutes:4 imputed profile",
     "text_names": "doc_id norm titled twice_encoded lossy",
     "padded_ids": "p_partkey ubigeo code district label",
     "coordinates": "demand_id lon:6 lat:6 missing swapped outside",
@@ -180,6 +185,18 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("-80000000,-15000000",), ("-78000000,-14500000",)], "target string")
 
 
+def elevations(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup of heights for four of five demand points."""
+    p = star.demand(spark, d).where("demand_id % 5 <> 0")
+    return p.select(geo.point_key(F.col("lat"), F.col("lon")).alias("point_key"), (F.col("demand_id") % 4000).cast("double").alias("elevation_m"))
+
+
+def graph_od(spark: SparkSession, d: str) -> DataFrame:
+    """Times on the lattice of roads between some points and the resolutive facilities, gaps imputed."""
+    some = star.demand(spark, d).where("demand_id % 10 = 3").drop("snap_m")
+    return backends.routed_pairs(backends.get_backend("graph", ways(spark, d)), some, star.facilities(spark, d).where("is_resolutive"), "car")
+
+
 def register(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as a facility register of text columns, with the faults that the checks look for."""
     k = F.col("s_suppkey")
@@ -254,7 +271,12 @@ def sequence(s, d):
 def kpis(s, d):
     a = cut(access(s, d))
     district = metrics.level_metrics(a, "district")
-    return views.kpis(metrics.level_metrics(a, "national"), metrics.inequality(a), metrics.urban_rural(a), metrics.worst_districts(a, district))
+    roads = cut(road_table(s, d))
+    return views.kpis(
+        metrics.level_metrics(a, "national"), metrics.inequality(a), metrics.urban_rural(a), metrics.worst_districts(a, district),
+        od.straight_vs_network(roads, star.demand(s, d)), models.mclp(a, cut(candidates(s, d)), cut, PLAN)[0],
+        metrics.temporal(demand(s, d), roads, star.facilities(s, d)), validation.facility_counters(cleaned(s, d)),
+    )
 
 
 def _by_district(build):
@@ -308,6 +330,11 @@ _PLANS = {
     "kpis": kpis,
     "top_groups": lambda s, d: views.top_groups(access(s, d), "province"),
     "filtered_view": lambda s, d: views.filtered(access(s, d), departments=("ASIA", "EUROPE"), areas=("RURAL",), reliable_only=True),
+    "facility_markers": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3")), 20),
+    "elevations": lambda s, d: validation.with_elevation(star.demand(s, d), elevations(s, d)),
+    "missing_elevations": lambda s, d: validation.missing_elevations(star.demand(s, d), elevations(s, d)),
+    "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("facility_id % 3 = 1"))),
+    "graph_od": graph_od,
     "text_names": text_names,
     "padded_ids": padded_ids,
     "coordinates": coordinates,

@@ -202,3 +202,16 @@ def facility_counters(clean: DataFrame) -> DataFrame:
         F.count_if(F.col("is_resolutive") & F.col("coord_recovered")).alias("resolutive_recovered"),
         F.count_if(F.col("is_upgrade_candidate") & o & h).alias("upgrade_candidates"),
     )
+
+
+def with_elevation(points: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Points with altitude_m from a table of (point_key, elevation_m) by coordinates to five decimals; unknown ones null."""
+    known = lookup.groupBy(F.col("point_key").alias("__key")).agg(F.max("elevation_m").cast("double").alias("altitude_m"))
+    rows = points.drop("altitude_m").withColumn("__own", geo.point_key(F.col("lat"), F.col("lon")))
+    return rows.join(known, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+
+
+def missing_elevations(points: DataFrame, lookup: DataFrame) -> DataFrame:
+    """point_key of the different points that the lookup lacks: what an elevation service has to be asked."""
+    keys = points.select(geo.point_key(F.col("lat"), F.col("lon")).alias("point_key")).distinct()
+    return keys.join(lookup.select("point_key").distinct(), "point_key", "left_anti")

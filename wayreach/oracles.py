@@ -199,11 +199,34 @@ _PLACES = f"""SELECT c_custkey AS k, lpad(CAST(c_custkey + 101010000 AS VARCHAR)
   round(-81.4e0 + (c_custkey * 7919 % 10007) / 10007e0 * 12.8e0, 6) AS lon, round(-18.4e0 + (c_custkey * 104729 % 10009) / 10009e0 * 18.36e0, 6) AS lat FROM customer"""
 
 
+_LON, _LAT = "(-81e0 + (s_suppkey * 6131 % 997) / 997e0 * 12e0)", "(-18e0 + (s_suppkey * 3571 % 991) / 991e0 * 17e0)"
+
+
+def _nth(k: str, *values: str) -> str:
+    return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({k} % {len(values)} + 1 AS INTEGER))"
+
+
+_REGISTER = {
+    "raw": f"""SELECT s_suppkey AS k, s_suppkey - s_suppkey % 9 % 2 AS code, s_name || {_nth('s_suppkey', '', ' Ã‘o', ' ?x a?b', '')} AS nombre,
+      {_nth('s_suppkey', 'PIURA', 'LORETO', 'HUANCAVELICA', 'ANCASH', 'NOWHERE')} AS dep, {_nth('s_suppkey', 'II-1', 'I-3', 'II-2', 'I-1', '0', 'III-1', 'I-4')} AS cat,
+      s_suppkey % 4 <> 3 AS operational, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN round({_LON}, 6) WHEN s_suppkey % 13 = 0 THEN 55.5e0 ELSE round({_LAT}, 6) END AS lat,
+      CASE WHEN s_suppkey % 7 = 0 THEN round({_LAT}, 6) ELSE round({_LON}, 6) END AS lon, s_nationkey FROM supplier""",
+    "uni": "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY k) AS r FROM raw) WHERE r = 1 AND dep <> 'NOWHERE'",
+    "chk": """SELECT *, lat IS NULL OR lon IS NULL OR lat = 0 OR lon = 0 AS missing, coalesce({inside}, FALSE) AS direct, coalesce({swapped}, FALSE) AS other FROM uni""",
+    "flg": "SELECT *, NOT missing AND NOT direct AND other AS swapped, NOT missing AND NOT direct AND NOT other AS outside FROM chk",
+    "rec": """SELECT f.*, missing OR outside AS recovered, CASE WHEN swapped THEN lat ELSE lon END AS x, CASE WHEN swapped THEN lon ELSE lat END AS y, x0, y0,
+      cat IN ('II-1', 'II-2', 'III-1') AS res, cat IN ('I-3', 'I-4') AS up FROM flg f JOIN dist d ON d.ubigeo = lpad(CAST(s_nationkey AS VARCHAR), 6, '0')""",
+}
+
+
 def _in(x, y):
     x0, y0, x1, y1 = DEFAULT.bbox
     return f"({x} BETWEEN {x0}e0 AND {x1}e0 AND {y} BETWEEN {y0}e0 AND {y1}e0)"
 
 
+_REGISTER["chk"] = _REGISTER["chk"].format(inside=_in("lon", "lat"), swapped=_in("lat", "lon"))
+
+
 def _bands(of: str = "t_min") -> str:
     return ", ".join(f"{_upto(b, of)} / {_W} AS share_hasta_{b}min" for b in DEFAULT.bands)
 
@@ -364,6 +387,44 @@ def _queries() -> dict:
     out["road_edges"] = _WAYS, "SELECT * FROM edges"
     out["scope_box"] = {}, """SELECT min(lat) - 0.15e0 AS south, min(lon) - 0.15e0 AS west, max(lat) + 0.15e0 AS north, max(lon) + 0.15e0 AS east
       FROM (SELECT lon, lat FROM dem0 UNION ALL SELECT lon, lat FROM fac WHERE category LIKE 'II%')"""
+    out["facility_markers"] = {}, "SELECT * FROM fac WHERE category IN ('II-1', 'I-3') ORDER BY facility_id LIMIT 20"
+    key = "printf('%.5f,%.5f', lat, lon)"
+    height = {"ele": f"SELECT {key} AS pk, max(CAST(demand_id % 4000 AS DOUBLE)) AS m FROM dem0 WHERE demand_id % 5 <> 0 GROUP BY 1"}
+    out["elevations"] = height, f"SELECT demand_id, m AS altitude_m FROM (SELECT demand_id, {key} AS pk FROM dem0) LEFT JOIN ele USING (pk)"
+    out["missing_elevations"] = height, f"SELECT DISTINCT {key} AS point_key FROM dem0 WHERE {key} NOT IN (SELECT pk FROM ele)"
+    every = {**_WAYS, "pts": _WAYS["pts"].replace(" WHERE fclass <> 'footway'", "")}
+    out["ways_in_scope"] = every, """SELECT DISTINCT way_id, fclass FROM pts, (SELECT min(lat) - 0.15e0 AS a, min(lon) - 0.15e0 AS b, max(lat) + 0.15e0 AS c, max(lon) + 0.15e0 AS d FROM fac WHERE facility_id % 3 = 1)
+      WHERE lon BETWEEN b AND d AND lat BETWEEN a AND c"""
+    out["line_codec"] = every, "SELECT way_id, string_agg(printf('%.6f,%.6f', lon, lat), ';' ORDER BY pos) AS line, 4 AS n_points FROM pts GROUP BY way_id"
+    out["snapped"] = {
+        **_WAYS, "nds": "SELECT node, CAST(split_part(node, ',', 1) AS DOUBLE) / 1e6 AS nlon, CAST(split_part(node, ',', 2) AS DOUBLE) / 1e6 AS nlat FROM (SELECT a AS node FROM edges UNION SELECT b FROM edges)",
+        "prx": "SELECT demand_id, lon, lat, node, nlon, nlat, row_number() OVER (PARTITION BY demand_id ORDER BY (lon - nlon) ** 2 + (lat - nlat) ** 2, node) AS r FROM dem0 CROSS JOIN nds",
+    }, f"SELECT demand_id, node, {_km('lon', 'lat', 'nlon', 'nlat')} * 1000 AS snap_m FROM prx WHERE r = 1"
+    out["facility_counters"] = _REGISTER, """SELECT count(*) AS facilities_in_scope, count(*) FILTER (WHERE res) AS facilities_resolutive_by_category, count(*) FILTER (WHERE res AND operational) AS facilities_resolutive,
+      count(*) FILTER (WHERE res AND NOT operational) AS resolutive_not_operational, 0 AS resolutive_without_coordinates, count(*) FILTER (WHERE res AND operational AND recovered) AS resolutive_recovered,
+      count(*) FILTER (WHERE up AND operational) AS upgrade_candidates FROM rec"""
+    ax, ay = "greatest(x0 - x, x - x0 - 2.56e0, 0e0)", "greatest(y0 - y, y - y0 - 3.672e0, 0e0)"
+    before = {"encoding": "nombre LIKE '%Ã%'", "lossy characters": "nombre LIKE '%a?b%'", "duplicate codes": "k <> first"}
+    after = {
+        "not operational": "NOT operational", "invalid category": "cat = '0'", "missing coordinates": "missing", "swapped coordinates": "swapped", "outside the box": "outside",
+        "outside the declared district": f"NOT recovered AND NOT sqrt({ax} * {ax} + {ay} * {ay}) <= {tol}", "district without polygon": "FALSE",
+    }
+    line = "SELECT '{}' AS \"check\", 'renipress' AS dataset, count(*) FILTER (WHERE {}) AS n_affected, count(*) AS n_total FROM {}"
+    rows = [line.format(c, t, "(SELECT *, min(k) OVER (PARTITION BY code) AS first FROM raw)") for c, t in before.items()] + [line.format(c, t, "rec") for c, t in after.items()]
+    rows.append("SELECT 'recovered coordinates', 'renipress', count(*) FILTER (WHERE recovered), greatest(count(*) FILTER (WHERE missing OR outside), 1) FROM rec")
+    out["facility_audit"] = _REGISTER, f"SELECT *, round(CASE WHEN n_total > 0 THEN n_affected / CAST(n_total AS DOUBLE) END, 6) AS share_affected FROM ({' UNION ALL '.join(rows)})"
+    relax = {
+        **_WAYS, "arc": "SELECT a, b, seconds FROM edges UNION ALL SELECT b, a, seconds FROM edges",
+        "src": "SELECT unnest(['-80000000,-15000000', '-78000000,-14500000']) AS target",
+        "sp (target, node, seconds) USING KEY (target, node)": """SELECT target, target, 0e0 FROM src WHERE target IN (SELECT a FROM arc)
+          UNION SELECT * FROM (SELECT s.target, arc.b AS node, min(s.seconds + arc.seconds) AS seconds FROM sp s JOIN arc ON s.node = arc.a GROUP BY s.target, arc.b) n
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.sp o WHERE o.target = n.target AND o.node = n.node AND o.seconds <= n.seconds)""",
+    }
+    out["road_times"] = out["road_times_relaxed"] = relax, "SELECT * FROM sp"
+    x = "substr(text, 1, 60)"
+    pieces = f"regexp_extract_all(lower({x}), '[\\p{{L}}]+|[^\\p{{L}}]+')"
+    out["text_names"] = {}, f"""SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents({x}), 'ß', 'SS')), '\\s+', ' ', 'g')) AS norm,
+      array_to_string(list_transform({pieces}, lambda p: CASE WHEN p[1] = 'ß' THEN 'Ss' ELSE upper(p[1]) END || p[2:]), '') AS titled, regexp_matches(text, 'Ã.|Â.|ï¿½|�') AS twice_encoded, regexp_matches(text, '[A-Za-z]\\?[A-Za-z]|^\\?[A-Za-z]') AS lossy FROM documents"""
     return out
 
 
@@ -382,11 +443,16 @@ def _needed(ctes: dict, body: str) -> dict:
 
 
 def _sql(name: str, ctes: dict, body: str) -> str:
-    head = ",\n".join(f"{k} AS ({v})" for k, v in _needed(ctes, body).items())
+    needed = _needed({k.split(" ")[0]: v for k, v in ctes.items()}, body)
+    full = {k.split(" ")[0]: k for k in ctes}
+    head = ",\n".join(f"{full.get(k, k)} AS ({v})" for k, v in needed.items())
+    if any("USING KEY" in k for k in ctes):
+        head = f"RECURSIVE {head}"
     columns = []
     for item in COLUMNS[name].split():
         c, _, digits = item.partition(":")
-        columns.append(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" if digits else c)
+        quoted = f'"{c}"' if c == "check" else c
+        columns.append(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" if digits else quoted)
     return (f"WITH {head}\n" if head else "") + f"SELECT {', '.join(columns)} FROM ({body}) result"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, Settings
 from ..functions import stats as S
 from ..functions.text import title
-from .metrics import LEVELS, SPREAD
+from .metrics import LEVELS, SPREAD, temporal_change
 
 
 def filtered(access: DataFrame, departments=(), provinces=(), areas=(), regions=(), reliable_only: bool = False) -> DataFrame:
@@ -122,8 +122,11 @@ def quality_table(audit: DataFrame) -> DataFrame:
     return audit.where("n_affected > 0").orderBy(F.col("share_affected").desc(), "check")
 
 
-def kpis(national: DataFrame, inequality: DataFrame, contrast: DataFrame, worst: DataFrame, conf: Settings = DEFAULT) -> DataFrame:
-    """kpi, valor: the report's figures as formatted text.
+def kpis(
+    national: DataFrame, inequality: DataFrame, contrast: DataFrame, worst: DataFrame, comparison: DataFrame | None = None,
+    frontier: DataFrame | None = None, series: DataFrame | None = None, counters: DataFrame | None = None, conf: Settings = DEFAULT,
+) -> DataFrame:
+    """kpi, valor: the report's figures as formatted text; tables that aren't at hand leave theirs out.
 
     Urban and rural means weigh regions by their reached population, so they are
     the true means of the areas.
@@ -144,7 +147,31 @@ def kpis(national: DataFrame, inequality: DataFrame, contrast: DataFrame, worst:
     third = side.select(F.concat(F.lit("TiempoMedio"), F.initcap(F.lower("area_type"))).alias("kpi"), one(F.col("t")).alias("valor"))
     top = worst.orderBy(F.col("pob_fuera_umbral").desc(), "ubigeo").limit(1)
     fourth = _listed(top, {"PeorDistrito": title(n("district")), "PeorDistritoDep": title(n("department")), "PeorDistritoPob": thousands(n("pob_fuera_umbral"))})
-    return first.unionByName(second).unionByName(third).unionByName(fourth)
+    out = first.unionByName(second).unionByName(third).unionByName(fourth)
+    band = conf.bands[1]
+    if comparison is not None:
+        figure = lambda name: F.max(F.when(F.col("metrica") == name, F.col("valor")))
+        one_row = comparison.agg(
+            figure("indice_desvio_distancia_mediano").alias("i"), figure(f"poblacion_reclasificada_{band}min").alias("p"),
+            figure("share_cambia_establecimiento_mas_cercano").alias("s"),
+        )
+        out = out.unionByName(_listed(one_row, {"IndiceDesvio": F.format_string("%.2f", "i"), "PobReclasificada": thousands(n("p")), "ShareCambiaCercano": one(n("s") * 100)}))
+    if frontier is not None:
+        ends = frontier.agg(
+            F.min("presupuesto").alias("b0"), F.min_by("ganancia_vs_base", "presupuesto").alias("g0"), F.max("presupuesto").alias("b1"),
+            F.max_by("ganancia_vs_base", "presupuesto").alias("g1"),
+        )
+        whole = lambda c: F.col(c).cast("long").cast("string")
+        out = out.unionByName(_listed(ends, {"MclpPresupuesto": whole("b0"), "MclpGanancia": thousands(n("g0")), "MclpPresupuestoMax": whole("b1"), "MclpGananciaMax": thousands(n("g1"))}))
+    if series is not None:
+        change = temporal_change(series, conf)
+        delta = F.format_string("%+.1f", n("cambio_cobertura") * 100)
+        text = lambda c: F.col(c).cast("long").cast("string")
+        out = out.unionByName(_listed(change, {"TemporalAnioIni": text("anio_inicial"), "TemporalAnioFin": text("anio_final"), "TemporalDelta": delta, "TemporalNuevos": text("resolutivas_nuevas")}))
+    if counters is not None:
+        names = {"Q" + "".join(x.capitalize() for x in c.split("_")): F.format_number(n(c), 0) for c in counters.columns}
+        out = out.unionByName(_listed(counters, names))
+    return out
 
 
 def _listed(row: DataFrame, items: dict) -> DataFrame:
@@ -156,3 +183,16 @@ def top_groups(access: DataFrame, key: str, n: int = 3) -> DataFrame:
     """The ``n`` groups of most population with their rank."""
     rows = access.dropna(subset=[key]).groupBy(key).agg(F.sum("design_weight").alias("poblacion"))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("poblacion").desc(), key))).where(F.col("rank") <= n)
+
+
+def filtered_facilities(facilities: DataFrame, categories=(), institutions=()) -> DataFrame:
+    """Facilities under the map's filters; an empty choice filters nothing."""
+    for column, chosen in (("category", categories), ("institution", institutions)):
+        if chosen:
+            facilities = facilities.where(F.col(column).isin(*chosen))
+    return facilities
+
+
+def facility_markers(facilities: DataFrame, most: int = 3000) -> DataFrame:
+    """The markers that a map draws: at most ``most`` located facilities, in order of their id."""
+    return facilities.where("lon is not null and lat is not null").orderBy("facility_id").limit(most)
