@@ -135,7 +135,8 @@ def walk_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def access(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.access_table(demand(spark, d), road_table(spark, d))
+    """The access table, written once: every metric reads it more than once, the pairs behind it are made once."""
+    return cut(metrics.access_table(demand(spark, d), road_table(spark, d)))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +270,7 @@ def sequence(s, d):
 
 
 def kpis(s, d):
-    a = cut(access(s, d))
+    a = access(s, d)
     district = metrics.level_metrics(a, "district")
     roads = cut(road_table(s, d))
     return views.kpis(
@@ -281,7 +282,7 @@ def kpis(s, d):
 
 def _by_district(build):
     def run(s, d):
-        a = cut(access(s, d))
+        a = access(s, d)
         return build(s, d, a, metrics.level_metrics(a, "district"))
 
     return run
@@ -316,7 +317,7 @@ _PLANS = {
     "coverage_scenario": lambda s, d: models.coverage(access(s, d), candidates(s, d), chosen(s, d), 120.0),
     "scenario_times": lambda s, d: models.scenario_times(access(s, d), candidates(s, d), chosen(s, d)),
     "mclp_sequence": sequence,
-    "mclp_frontier": lambda s, d: models.mclp(cut(access(s, d)), cut(candidates(s, d)), cut, PLAN)[0],
+    "mclp_frontier": lambda s, d: models.mclp(access(s, d), cut(candidates(s, d)), cut, PLAN)[0],
     "quota": lambda s, d: sampling.quota(strata(s, d), 300),
     "pps_sample": lambda s, d: sampling.sample_demand(universe(s, d), SAMPLE),
     "thin_districts": demand,

@@ -22,8 +22,13 @@ def all_pairs(demand: DataFrame, facilities: DataFrame, *extra: str) -> DataFram
     """demand_id, facility_id, o_lon, o_lat, d_lon, d_lat, snap_m and the ``extra`` facility columns of every pair.
 
     The pairs are streamed into whatever follows; aggregate or filter them at once.
+    Demand points are dealt out by demand_id first, before they are multiplied: all
+    tasks share the work however few files hold the points, and aggregates,
+    windows and joins by demand_id need no exchange of pairs.
     """
-    d = demand.select("demand_id", F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), "snap_m")
+    spark = demand.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = demand.select("demand_id", F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), "snap_m").repartition(tasks, "demand_id")
     f = facilities.select("facility_id", F.col("lon").alias("d_lon"), F.col("lat").alias("d_lat"), *extra)
     return d.crossJoin(small_side(f))
 
