@@ -401,7 +401,7 @@ def _queries() -> dict:
         "prx": "SELECT demand_id, lon, lat, node, nlon, nlat, row_number() OVER (PARTITION BY demand_id ORDER BY (lon - nlon) ** 2 + (lat - nlat) ** 2, node) AS r FROM dem0 CROSS JOIN nds",
     }, f"SELECT demand_id, node, {_km('lon', 'lat', 'nlon', 'nlat')} * 1000 AS snap_m FROM prx WHERE r = 1"
     out["facility_counters"] = _REGISTER, """SELECT count(*) AS facilities_in_scope, count(*) FILTER (WHERE res) AS facilities_resolutive_by_category, count(*) FILTER (WHERE res AND operational) AS facilities_resolutive,
-      count(*) FILTER (WHERE res AND NOT operational) AS resolutive_not_operational, 0 AS resolutive_without_coordinates, count(*) FILTER (WHERE res AND operational AND recovered) AS resolutive_recovered,
+      count(*) FILTER (WHERE res AND NOT operational) AS resolutive_not_operational, CAST(0 AS BIGINT) AS resolutive_without_coordinates, count(*) FILTER (WHERE res AND operational AND recovered) AS resolutive_recovered,
       count(*) FILTER (WHERE up AND operational) AS upgrade_candidates FROM rec"""
     ax, ay = "greatest(x0 - x, x - x0 - 2.56e0, 0e0)", "greatest(y0 - y, y - y0 - 3.672e0, 0e0)"
     before = {"encoding": "nombre LIKE '%Ã%'", "lossy characters": "nombre LIKE '%a?b%'", "duplicate codes": "k <> first"}

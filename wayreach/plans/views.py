@@ -182,7 +182,7 @@ def _listed(row: DataFrame, items: dict) -> DataFrame:
 def top_groups(access: DataFrame, key: str, n: int = 3) -> DataFrame:
     """The ``n`` groups of most population with their rank."""
     rows = access.dropna(subset=[key]).groupBy(key).agg(F.sum("design_weight").alias("poblacion"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("poblacion").desc(), key))).where(F.col("rank") <= n)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("poblacion").desc(), key)).cast("long")).where(F.col("rank") <= n)
 
 
 def filtered_facilities(facilities: DataFrame, categories=(), institutions=()) -> DataFrame:
