@@ -193,9 +193,9 @@ def elevations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_od(spark: SparkSession, d: str) -> DataFrame:
-    """Times on the lattice of roads between some points and the resolutive facilities, gaps imputed."""
-    some = star.demand(spark, d).where("demand_id % 10 = 3").drop("snap_m")
-    return backends.routed_pairs(backends.get_backend("graph", ways(spark, d)), some, star.facilities(spark, d).where("is_resolutive"), "car")
+    """Times on the lattice of roads between all points and the resolutive facilities, gaps imputed."""
+    points = star.demand(spark, d).drop("snap_m")
+    return backends.routed_pairs(backends.get_backend("graph", ways(spark, d)), points, star.facilities(spark, d).where("is_resolutive"), "car")
 
 
 def register(spark: SparkSession, d: str) -> DataFrame:
