@@ -49,3 +49,11 @@ def test_graph_od_routes_every_point(spark, sf):
                 assert r.minutes == pytest.approx(known, abs=1e-3) and not r.imputed
                 routed += 1
     assert routed
+
+
+def test_text_names_take_the_whole_text(spark, tmp_path):
+    texts = {1: "año " * 40 + "Íñigo o'higgins", 2: "x" * 70 + "  élan", 3: ""}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.norm, r.titled) for r in catalog.QUERIES["text_names_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("ANO " * 40 + "INIGO O'HIGGINS", "Año " * 40 + "Íñigo O'Higgins"), 2: ("X" * 70 + " ELAN", "X" + "x" * 69 + "  Élan"), 3: ("", "")}

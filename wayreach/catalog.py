@@ -86,6 +86,7 @@ COLUMNS = {
     "ways_in_scope": "way_id fclass",
     "graph_od": "demand_id facility_id minutes:4 imputed profile",
     "text_names": "doc_id norm titled twice_encoded lossy",
+    "text_names_whole": "doc_id norm titled twice_encoded lossy",
     "padded_ids": "p_partkey ubigeo code district label",
     "coordinates": "demand_id lon:6 lat:6 missing swapped outside",
     "coordinate_columns": "lat_column lon_column as_labeled:8 as_swapped:8",
@@ -235,8 +236,7 @@ def places(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def text_names(spark: SparkSession, d: str) -> DataFrame:
-    x = F.substring(F.col("text"), 1, 60)
+def _text_names(spark: SparkSession, d: str, x) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet")
     return rows.select(
         "doc_id", text.norm_name(x).alias("norm"), text.title(x).alias("titled"), text.looks_twice_encoded(F.col("text")).alias("twice_encoded"),
@@ -244,6 +244,15 @@ def text_names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def text_names(spark: SparkSession, d: str) -> DataFrame:
+    """What the SQL compares: norm and titled of the first 60 characters; :func:`text_names_whole` has the whole text's."""
+    return _text_names(spark, d, F.substring(F.col("text"), 1, 60))
+
+
+def text_names_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _text_names(spark, d, F.col("text"))
+
+
 def padded_ids(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     raw = F.concat(k.cast("string"), F.when(k % 3 == 0, ".0").otherwise(""))
@@ -337,6 +346,7 @@ _PLANS = {
     "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("facility_id % 3 = 1"))),
     "graph_od": graph_od,
     "text_names": text_names,
+    "text_names_whole": text_names_whole,
     "padded_ids": padded_ids,
     "coordinates": coordinates,
     "coordinate_columns": lambda s, d: validation.coordinate_columns(places(s, d), "Latitud (coord X)", "Longitud (coord Y)"),
