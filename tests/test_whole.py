@@ -8,7 +8,7 @@ import pytest
 from wayreach import catalog
 from wayreach.conf import DEFAULT
 from wayreach.functions.geo import haversine_km
-from wayreach.operators import graph
+from wayreach.operators import models
 from wayreach.sources import star
 
 
@@ -57,3 +57,22 @@ def test_text_names_take_the_whole_text(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.norm, r.titled) for r in catalog.QUERIES["text_names_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: ("ANO " * 40 + "INIGO O'HIGGINS", "Año " * 40 + "Íñigo O'Higgins"), 2: ("X" * 70 + " ELAN", "X" + "x" * 69 + "  Élan"), 3: ("", "")}
+
+
+def test_plans_reach_the_largest_budget(spark, sf):
+    covers, weight = defaultdict(set), {}
+    for r in models.cover_pool(catalog.access(spark, sf), catalog.candidates(spark, sf), catalog.WHOLE_PLAN).collect():
+        covers[r.facility_id].add(r.demand_id)
+        weight[r.demand_id] = r.design_weight
+    gains, seen = [], set()
+    for _ in range(max(DEFAULT.budgets)):
+        gain, f = max(((sum(weight[i] for i in sorted(covers[f] - seen)), -f) for f in covers), default=(0.0, 0))
+        if gain <= 0:
+            break
+        gains.append((-f, gain))
+        seen |= covers[-f]
+    got = catalog.QUERIES["mclp_sequence_whole"](spark, sf).orderBy("orden").collect()
+    assert gains and [r.facility_id for r in got] == [f for f, _ in gains]
+    assert [r.poblacion_marginal for r in got] == pytest.approx([g for _, g in gains], abs=0.01)
+    rows = catalog.QUERIES["mclp_frontier_whole"](spark, sf).orderBy("presupuesto").collect()
+    assert [(r.presupuesto, r.n_ascendidos) for r in rows] == [(b, min(b, len(gains))) for b in DEFAULT.budgets]

@@ -22,6 +22,8 @@ from .sources import star
 SAMPLE = replace(DEFAULT, max_demand_points=400, certainty_population=9000)
 THIN = replace(DEFAULT, min_points_per_district=65, min_direct_coverage=0.999)
 PLAN = replace(DEFAULT, budgets=(1, 2, 3), cover_minutes=120.0)
+#: The engine's own budgets, for the planning queries that SQL can't hold.
+WHOLE_PLAN = replace(PLAN, budgets=DEFAULT.budgets)
 FEW = replace(DEFAULT, min_districts=10)
 
 _LEVEL = (
@@ -67,6 +69,9 @@ COLUMNS = {
     "mclp_sequence": "orden facility_id name category poblacion_marginal:3 poblacion_cubierta_acumulada:3",
     "mclp_frontier": "presupuesto n_ascendidos poblacion_cubierta:3 share_cubierta:8 ganancia_vs_base:3 t_medio_min:6 cota_superior_optimo:3"
     " garantia_voraz_pct_del_optimo:8 brecha_maxima_vs_cota:3",
+    "mclp_sequence_whole": "orden facility_id name category poblacion_marginal:3 poblacion_cubierta_acumulada:3",
+    "mclp_frontier_whole": "presupuesto n_ascendidos poblacion_cubierta:3 share_cubierta:8 ganancia_vs_base:3 t_medio_min:6 cota_superior_optimo:3"
+    " garantia_voraz_pct_del_optimo:8 brecha_maxima_vs_cota:3",
     "quota": "stratum pop size quota",
     "pps_sample": "demand_id design_weight:6 sampling_stratum inclusion_prob:8",
     "thin_districts": "demand_id n_points_district direct_pop_coverage:8 high_variance_district",
@@ -274,8 +279,8 @@ def snap_points(spark: SparkSession, d: str) -> DataFrame:
     return demand_snap.unionByName(star.facilities(spark, d).where("is_resolutive").select(F.lit("establecimientos").alias("point_set"), "snap_m"))
 
 
-def sequence(s, d):
-    return models.named(models.mclp(access(s, d), candidates(s, d), cut, PLAN)[1], star.facilities(s, d))
+def sequence(s, d, conf=PLAN):
+    return models.named(models.mclp(access(s, d), candidates(s, d), cut, conf)[1], star.facilities(s, d))
 
 
 def kpis(s, d):
@@ -284,7 +289,7 @@ def kpis(s, d):
     roads = cut(road_table(s, d))
     return views.kpis(
         metrics.level_metrics(a, "national"), metrics.inequality(a), metrics.urban_rural(a), metrics.worst_districts(a, district),
-        od.straight_vs_network(roads, star.demand(s, d)), models.mclp(a, cut(candidates(s, d)), cut, PLAN)[0],
+        od.straight_vs_network(roads, star.demand(s, d)), models.mclp(a, cut(candidates(s, d)), cut, WHOLE_PLAN)[0],
         metrics.temporal(demand(s, d), roads, star.facilities(s, d)), validation.facility_counters(cleaned(s, d)),
     )
 
@@ -327,6 +332,8 @@ _PLANS = {
     "scenario_times": lambda s, d: models.scenario_times(access(s, d), candidates(s, d), chosen(s, d)),
     "mclp_sequence": sequence,
     "mclp_frontier": lambda s, d: models.mclp(access(s, d), cut(candidates(s, d)), cut, PLAN)[0],
+    "mclp_sequence_whole": lambda s, d: sequence(s, d, WHOLE_PLAN),
+    "mclp_frontier_whole": lambda s, d: models.mclp(access(s, d), cut(candidates(s, d)), cut, WHOLE_PLAN)[0],
     "quota": lambda s, d: sampling.quota(strata(s, d), 300),
     "pps_sample": lambda s, d: sampling.sample_demand(universe(s, d), SAMPLE),
     "thin_districts": demand,
