@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -139,13 +140,13 @@ class ToxicModel:
                 hits[begin] = (n, symbol, weight)
         if not hits:
             return 0.0
+        ends = [m.start() for m in CLAUSE_END.finditer(low)]
         total, done = 0.0, -1
         for begin in sorted(hits):
             if begin < done:
                 continue
-            left = max((m.end() for m in CLAUSE_END.finditer(low, max(0, begin - 400), begin)), default=max(0, begin - 400))
-            right = CLAUSE_END.search(low, begin)
-            done = right.start() if right else len(low)
+            k = bisect_left(ends, begin)
+            left, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low)
             words = [(m.start(), m.group()) for m in WORD.finditer(low, left, done)]
             aimed = [w for _, w in words if _SYMBOL.get(w) == "T"]
             state = GRAMMAR.start
