@@ -76,3 +76,10 @@ def test_plans_reach_the_largest_budget(spark, sf):
     assert [r.poblacion_marginal for r in got] == pytest.approx([g for _, g in gains], abs=0.01)
     rows = catalog.QUERIES["mclp_frontier_whole"](spark, sf).orderBy("presupuesto").collect()
     assert [(r.presupuesto, r.n_ascendidos) for r in rows] == [(b, min(b, len(gains))) for b in DEFAULT.budgets]
+
+
+def test_markers_are_not_cut_at_twenty(spark):
+    sf = "/root/testdata/sf0.1"
+    ids = [r.facility_id for r in star.facilities(spark, sf).where("category in ('II-1', 'I-3')").select("facility_id").collect()]
+    got = [r.facility_id for r in catalog.QUERIES["facility_markers_whole"](spark, sf).collect()]
+    assert len(got) == 200 and sorted(got) == sorted(ids)

@@ -86,6 +86,7 @@ COLUMNS = {
     "top_groups": "province poblacion:3 rank",
     "filtered_view": "demand_id department area_type t_min:6",
     "facility_markers": "facility_id category lon:6 lat:6",
+    "facility_markers_whole": "facility_id category lon:6 lat:6",
     "elevations": "demand_id altitude_m:3",
     "missing_elevations": "point_key",
     "ways_in_scope": "way_id fclass",
@@ -348,6 +349,7 @@ _PLANS = {
     "top_groups": lambda s, d: views.top_groups(access(s, d), "province"),
     "filtered_view": lambda s, d: views.filtered(access(s, d), departments=("ASIA", "EUROPE"), areas=("RURAL",), reliable_only=True),
     "facility_markers": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3")), 20),
+    "facility_markers_whole": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3"))),
     "elevations": lambda s, d: validation.with_elevation(star.demand(s, d), elevations(s, d)),
     "missing_elevations": lambda s, d: validation.missing_elevations(star.demand(s, d), elevations(s, d)),
     "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("facility_id % 3 = 1"))),
