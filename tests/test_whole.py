@@ -83,3 +83,12 @@ def test_markers_are_not_cut_at_twenty(spark):
     ids = [r.facility_id for r in star.facilities(spark, sf).where("category in ('II-1', 'I-3')").select("facility_id").collect()]
     got = [r.facility_id for r in catalog.QUERIES["facility_markers_whole"](spark, sf).collect()]
     assert len(got) == 200 and sorted(got) == sorted(ids)
+
+
+def test_scope_spans_the_resolutive_facilities(spark, sf):
+    at = [(r.lon, r.lat) for r in star.facilities(spark, sf).where("is_resolutive").collect()]
+    west, east = min(x for x, _ in at) - DEFAULT.scope_pad_deg, max(x for x, _ in at) + DEFAULT.scope_pad_deg
+    south, north = min(y for _, y in at) - DEFAULT.scope_pad_deg, max(y for _, y in at) + DEFAULT.scope_pad_deg
+    inside = {r.way_id for r in catalog.ways(spark, sf).collect() if any(west <= p.lon <= east and south <= p.lat <= north for p in r.coords)}
+    got = {r.way_id for r in catalog.QUERIES["ways_in_scope_whole"](spark, sf).collect()}
+    assert got == inside

@@ -90,6 +90,7 @@ COLUMNS = {
     "elevations": "demand_id altitude_m:3",
     "missing_elevations": "point_key",
     "ways_in_scope": "way_id fclass",
+    "ways_in_scope_whole": "way_id fclass",
     "graph_od": "demand_id facility_id minutes:4 imputed profile",
     "text_names": "doc_id norm titled twice_encoded lossy",
     "text_names_whole": "doc_id norm titled twice_encoded lossy",
@@ -353,6 +354,7 @@ _PLANS = {
     "elevations": lambda s, d: validation.with_elevation(star.demand(s, d), elevations(s, d)),
     "missing_elevations": lambda s, d: validation.missing_elevations(star.demand(s, d), elevations(s, d)),
     "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("facility_id % 3 = 1"))),
+    "ways_in_scope_whole": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("is_resolutive"))),
     "graph_od": graph_od,
     "text_names": text_names,
     "text_names_whole": text_names_whole,
