@@ -108,28 +108,52 @@ def vectors(spark):
     return spark.createDataFrame([(*x, "a", 1) for x in rows], "vec_id long, label int, embedding array<double>, n_links string, class int")
 
 
-@pytest.mark.parametrize("probe", [1.6, None])
-def test_embedding_links_against_all_pairs(spark, vectors, probe, monkeypatch):
+@pytest.mark.parametrize("tail", [embedding_dedup.TAIL, None])
+def test_embedding_links_against_all_pairs(spark, vectors, tail, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CLASSES_A_LIST", 20)
-    monkeypatch.setattr(embedding_dedup, "BLOCK_CLASSES", 7)
-    got = embedding_dedup.embedding_dedup(vectors, probe=probe).toPandas().sort_values("vec_id")
+    monkeypatch.setattr(embedding_dedup, "BLOCK_CLASSES", (2, 7))
+    monkeypatch.setattr(embedding_dedup, "PART_CLASSES", (3, 9))
+    got = embedding_dedup.embedding_dedup(vectors, tail=tail).toPandas().sort_values("vec_id")
     table = vectors.toPandas().sort_values("vec_id").reset_index(drop=True)
     links = links_of(table, 0.93)
     n = np.bincount(np.array(links).ravel(), minlength=len(table))
     root = components(len(table), links)
     recall = got.n_links.sum() / n.sum()
     assert recall >= 0.9 and (got.n_links.to_numpy() <= n).all()
-    if probe is None:
+    if tail is None:
         assert recall == 1.0
         least = pd.Series(table.vec_id.to_numpy()).groupby(root).transform("min")
         assert (got.component_id.to_numpy() == least.to_numpy()).all()
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
-def test_embedding_recall_on_the_table(spark):
-    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "label", "embedding")
-    got = embedding_dedup.embedding_dedup(v).agg({"n_links": "sum"}).first()[0]
-    assert got >= 0.9 * 2 * len(links_of(v.toPandas(), 0.93))
+def pairs_at(cosine, dims, rank, n, seed=0):
+    """n unit vectors in a subspace of ``rank`` and n others, each at the cosine from its own."""
+    r = np.random.default_rng(seed)
+    base = np.linalg.qr(r.normal(size=(dims, rank)))[0]
+    a = r.normal(size=(n, rank))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    e = r.normal(size=a.shape)
+    e -= (e * a).sum(axis=1)[:, None] * a
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    return np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * e]) @ base.T
+
+
+@pytest.mark.parametrize("dims, rank", [(256, 8), (512, 16), (64, 4), (64, 64)])
+def test_embedding_recall_whatever_the_rank(spark, dims, rank):
+    x = pairs_at(0.932, dims, rank, 1500)
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "label": 1, "embedding": list(x.tolist())}))
+    expected = sum(int((x[lo : lo + 500] @ x.T >= 0.93).sum()) for lo in range(0, len(x), 500)) - len(x)
+    assert len(x) <= expected and 0.95 * expected <= embedding_dedup.embedding_dedup(v).agg({"n_links": "sum"}).first()[0] <= expected
+
+
+def test_rare_labels_are_searched_whole():
+    x = np.concatenate([pairs_at(0.932, 32, 32, 400), pairs_at(0.932, 32, 2, 10, 1)])
+    index = embedding_dedup.PqIndex(x, 6)
+    label = np.repeat([0, 1], [800, 20])
+    index.learn_reach(x, label, 0.37, embedding_dedup.TAIL)
+    assert 0 < index.label_reach[0] < index.half and 1 not in index.label_reach
+    assert (index.probed(x, np.ones(len(x), int))[1] >= index.probed(x, np.zeros(len(x), int))[1]).all()
 
 
 def test_embedding_empty_and_odd_lengths(spark, vectors):

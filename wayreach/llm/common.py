@@ -20,7 +20,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    A local session (a test) that names none gets a temporary folder; on a cluster
+    executors could not see that, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -28,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     own = sc.getCheckpointDir()
     if own is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayreach-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table of :func:`new_path` that nothing reads any more."""
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,16 +47,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/wayreach-{uuid.uuid4().hex}-{name}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and its path: lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, written_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,10 +38,12 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     """
     least, most = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     now = edges.where(F.col(a) != F.col(b)).select(most.alias("u"), least.alias("v")).distinct()
-    now = written(now, "links")
+    now, path = written_at(now, "links")
     state = None
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)), "links")
+        before = path
+        now, path = written_at(_small_star(_large_star(now)), "links")
+        delete(now.sparkSession, before)
         seen = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") < F.col("v"))
         ).first()
