@@ -37,8 +37,8 @@ CLASSES_A_LIST = 256
 SUBSPACE = 8
 CODES = 64
 #: Classes of a block and searchers of a part, at least and at most: a list's quarters between these.
-BLOCK_CLASSES = (512, 4_096)
-PART_CLASSES = (1_024, 16_384)
+BLOCK_CLASSES = (256, 4_096)
+PART_CLASSES = (256, 16_384)
 #: The part of sampled displacements along planes' normals that may exceed what is probed for.
 TAIL = 0.005
 #: Sampled classes of a label, or displacements of a list, under which no quantile is taken of it.
