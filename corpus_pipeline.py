@@ -1,9 +1,10 @@
 """A training-data pipeline from five corpus operators, each stage written and reread.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir).  All but the
-last return the columns of documents.  Null or empty texts pass through every
-stage; an empty table gives an empty result; columns beyond those of documents are
-dropped.
+last return the columns of documents.  Null and empty texts crash no stage; an empty
+table gives an empty result; columns beyond those of documents are dropped, so
+clashing names do no harm.  Texts of any length are read whole.  Ties and repeated
+rows: each stage's docstring.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from wayreach.llm.byte_bpe import byte_bpe
 from wayreach.llm.common import documents, written
 from wayreach.llm.line_dedup import line_dedup
-from wayreach.llm.mixing import WORD, plan_mix
+from wayreach.llm.mixing import WORD, plan_mix, text_digest
 from wayreach.llm.quality import fit_quality, score_quality
 from wayreach.llm.simhash import simhash_components
 
@@ -24,14 +25,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.5) go.
 
-    The classifier is fitted on the labelled documents of ``sf_dir``.
+    The classifier is fitted on the labelled documents of ``sf_dir``.  Equal texts
+    score alike, so repeated rows stay or go together; a score of 0.5 stays.
     """
     model = fit_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model, carry=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three or more documents share stay in the last of these only."""
+    """Lines that three or more documents share stay in the last of these only.
+
+    Repeated rows are one document and lose the same lines.
+    """
     out = line_dedup(docs.select(*COLUMNS))
     changed = F.col("n_dropped") > 0
     return out.select(
@@ -56,14 +61,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
 
 
+def _key(text_hash):
+    """Tells rows of COLUMNS apart, nulls from values too."""
+    return F.unhex(F.md5(F.to_json(F.struct("doc_id", "source", "lang", "n_chars", text_hash.alias("text"))).cast("binary")))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of training, once for each pass that takes them.
 
     The document at the end of its source's demand is cut after its last word taken.
-    Documents of which nothing is taken, so those without words too, go.
+    Documents of which nothing is taken, so those without words too, go.  Repeated
+    rows are documents of their own: each comes as often as the plan takes it.
     """
-    plan = written(plan_mix(docs), "plan").where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"),
+    plan = written(plan_mix(docs, also=("lang", "n_chars")), "plan").where("taken > 0").select(
+        _key(F.col("text_hash")).alias("__key"), F.col("size").alias("__size"),
         F.explode(
             F.array(
                 F.struct(F.col("taken_first").alias("take"), F.col("position").alias("at")),
@@ -72,8 +83,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         ).alias("__pass"),
     )
     plan = plan.where("__pass.take > 0")
-    rows = docs.select(*COLUMNS)
-    mixed = rows.join(plan, rows.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    # The plan has a row for each of several equal documents; the text joins it once.
+    rows = docs.select(*COLUMNS, _key(text_digest(F.col("text"))).alias("__key")).dropDuplicates(["__key"])
+    mixed = rows.join(plan, "__key")
     # Each word with the white space before it: the first so many are the part up to that word's end.
     words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*+" + WORD), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("__pass.take").cast("int")), "")
@@ -85,7 +97,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document that the mix takes, with what they decode to checked by digest."""
+    """The token ids of every document that the mix takes, with what they decode to checked by digest.
+
+    A row comes out for each that comes in, repeated ones too.
+    """
     import public_tokenizers
 
     return byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).drop("decoded")

@@ -8,7 +8,7 @@ import pytest
 from cases import components, documents, rows_of
 
 import corpus_pipeline
-from wayreach.llm import embedding_dedup, quality, toxicity
+from wayreach.llm import embedding_dedup, mixing, quality, toxicity
 from wayreach.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -219,14 +219,23 @@ def test_pipeline_keeps_one_of_each_group(stages):
 def test_pipeline_mix_takes_the_planned_words(stages):
     from collections import Counter
 
-    from wayreach.llm.mixing import plan_mix
-
     before, after = stages["mixing"]
     words = Counter()
     for r in after.collect():
         words[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
-    assert words == {r.doc_id: r.taken for r in plan_mix(before).collect() if r.taken}
+    assert words == {r.doc_id: r.taken for r in mixing.plan_mix(before).collect() if r.taken}
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_equal_rows_come_as_often_as_planned(spark, k):
+    rows = [(1, "a b c d", "en", "s")] * k + [(2, "one two three", "en", "s"), (3, "x y", "de", "t"), (None, "u v w", "en", "t"), (None, "u v w", None, "t")]
+    d = documents(spark, rows)
+    made, plan = corpus_pipeline.mixing_stage(spark, d, SF).collect(), mixing.plan_mix(d, ("lang", "n_chars")).collect()
+    words = lambda i: sum(len(r.text.split()) for r in made if r.doc_id == i)
+    assert all(words(i) == sum(r.taken for r in plan if r.doc_id == i) for i in (1, 2, 3, None))
+    assert abs(sum(r.taken for r in plan) - 1.5 * sum(len(t.split()) for _, t, _, _ in rows)) <= 1
+    assert sum(r.doc_id == 1 for r in made) <= 2 * k
 
 
 def test_pipeline_tokens_decode_to_the_texts(stages):

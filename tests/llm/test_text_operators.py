@@ -145,6 +145,14 @@ def test_mixing_meets_targets(docs, table):
     assert sorted(map(str, plan)) == sorted(map(str, again))
 
 
+def test_equal_rows_and_null_ids_are_mixed_apart(spark):
+    rows = [(1, "a b c", "en", "s")] * 3 + [(None, f"w{i} x", "en", "s") for i in range(30)] + [(2, "", "en", "s")]
+    plan = mixing.plan_mix(documents(spark, rows)).collect()
+    assert len(plan) == len(rows) and sum(r.taken for r in plan) == round(1.5 * (9 + 60))
+    starts = [p for r in plan for p in (r.position, r.position_again) if p is not None]
+    assert len(starts) == len(set(starts))
+
+
 def test_simhash_against_all_pairs(docs, table):
     got = rows_of(simhash.simhash_components(docs))
 
