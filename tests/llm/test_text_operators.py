@@ -66,13 +66,30 @@ def suffix_table(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup(spark, small, monkeypatch):
     if small:  # several pieces, indexes and blocks; every group salted
-        for name, value in (("PIECE", 300), ("INDEX_BYTES", 2000), ("BLOCK_TEXTS", 10), ("CROWD", 3)):
+        for name, value in (("PIECE", 300), ("INDEX_BYTES", 2000), ("BLOCK_TEXTS", 10), ("CROWD", 3), ("SALT_CONTEXTS", 2)):
             monkeypatch.setattr(suffix_dedup, name, value)
     d = suffix_table(spark)
     expected = suffix_reference([(r.doc_id, r.text, None) for r in d.collect()], 200)
     assert rows_of(suffix_dedup.suffix_dedup(d)) == sorted(expected, key=lambda r: tuple((v is not None, v) for v in r))
 
 
+def test_a_passage_in_a_crowd_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 40)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    licence = word(1200)
+    rows = [(i, word(150) + licence + word(150), "en", "s") for i in range(120)] + [(500 + i, word(400), "en", "s") for i in range(20)]
+    d = documents(spark, rows + [(900, licence * 3, "en", "s")])
+    indexed = []
+    real = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda r, *a: (indexed.append(r), real(r, *a))[1])
+    expected = suffix_reference([(r.doc_id, r.text, None) for r in d.collect()], 200)
+    assert rows_of(suffix_dedup.suffix_dedup(d)) == sorted(expected)
+    # An inner context is one row, whatever the number of its places.
+    table = indexed[0].select("grp", "context", "n").toPandas()
+    assert not table.duplicated(["grp", "context"]).any() and table.n.max() >= 121
+
+
 def test_suffix_dedup_keeps_text_and_spans(spark):
     d = documents(spark, [(1, "x" + "q" * 250, "en", "s"), (2, "short", "en", "s")])
     got = {r.doc_id: (bytes(r.kept), list(r.spans)) for r in suffix_dedup.suffix_dedup(d, with_text=True).collect()}

@@ -10,14 +10,17 @@ steps around it bring together the places that can hold the same string.
 3. Anchors are counted over the different texts.  Runs whose anchor is found once
    can't be repeated; the others are candidates.
 4. A candidate run becomes a context, its windows' bytes, and goes to its anchor's
-   group.  Contexts that are equal collapse to one with a count.
+   group.  Contexts that are equal collapse to one with a count; those of an anchor
+   that very many places have do so before they are dealt out, by an aggregate that
+   combines in each task, and what the index finds of them goes back by a join.
 5. The groups' contexts are indexed, a few megabytes at a time:
    :class:`BoundedIntervals` derives the common prefixes of neighbouring
    suffixes by breadth-first backward extension, by increasing value, and stops at
    ``length``.  Neighbours that are undecided then share at least ``length`` bytes,
    and windows of a class that stands for more than one place are repeated.
-6. Groups of very many contexts are salted by context; each salt's different
-   windows then meet under their own hash and run through step 5 once more.
+6. Groups of very many different contexts are salted, as many salts as they need;
+   each salt's different windows then meet under their own hash and run through
+   step 5 once more.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, shuffle_partitions, written
+from .common import delete, documents, mix64, shuffle_partitions, written, written_at
 
 GRAM = 64
 #: Bytes that one hashing step works on (positions fit ``PLACE`` bits).
@@ -39,8 +42,8 @@ PLACE = np.uint64(20)
 BLOCK_TEXTS, BLOCK_BYTES = 8192, 4 << 20
 #: Bytes of contexts that one index holds; a group is not divided unless salted.
 INDEX_BYTES = 1 << 21
-#: Occurrences of an anchor beyond which its group is salted, and contexts a salt aims at.
-CROWD, SALT_CONTEXTS = 20_000, 4_000
+#: Occurrences of an anchor beyond which equal contexts are counted first, and different contexts a salt aims at.
+CROWD, SALT_CONTEXTS = 1_000, 4_000
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -262,16 +265,16 @@ def candidate_runs(blocks: DataFrame, grades: DataFrame, buckets: int, length: i
     return meet.mapInArrow(run, "key binary, doc_id long, n long, runs binary")
 
 
-_CONTEXT_SCHEMA = "grp long, salt int, context binary, key binary, n long, starts binary"
+_CONTEXT_SCHEMA = "grp long, crowd boolean, name binary, context binary, key binary, n long, starts binary"
 
 
 def contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """grp, salt, context, key, starts: each text's different contexts and where its runs begin."""
+    """grp, crowd, name (128-bit hash), context, key, n, starts: each text's different contexts and where its runs begin."""
     own = runs.select("key", F.col("doc_id").alias("__id"), F.col("n").alias("m"), "runs")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("__key"))
     rows = rows.join(own, (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("key", "text", "m", "runs")
-    names = ("grp", "salt", "context", "key", "n", "starts")
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+    names = ("grp", "crowd", "name", "context", "key", "n", "starts")
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
 
     def run(batches):
         import xxhash
@@ -286,9 +289,8 @@ def contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 for g, s, k, c in zip(grp, lo, n, crowd):
                     places.setdefault((g, c, data[s : s + k + length - 1]), []).append(s)
                 for (g, c, context), starts in places.items():
-                    # The salts of a crowd grow with its number of contexts in expectation only; 64 serve 256,000.
-                    salt = 1 + xxhash.xxh3_64_intdigest(context) % 64 if c else 0
-                    out.append((g, salt, context, key, len(starts), np.array(starts, "<u8").tobytes()))
+                    name = xxhash.xxh3_128_digest(context, g & 0xFFFFFFFFFFFFFFFF) if c else None
+                    out.append((g, bool(c), name, context, key, len(starts), np.array(starts, "<u8").tobytes()))
                     size += len(context)
                 if size > 16 << 20:
                     yield _rows(out, names, kinds)
@@ -408,27 +410,31 @@ def _index(groups: list, length: int):
 
 
 def repeated_windows(rows: DataFrame, length: int, partitions: int) -> DataFrame:
-    """key, lo, hi: runs of windows that are repeated; grp, salt, context set: a salted group's different windows."""
+    """key, crowd, lo, hi: runs of windows that are repeated; context set: a salted group's different windows.
+
+    ``rows``: grp, salt, context, key, crowd, n, starts; a context counts ``n`` times
+    and lies at ``starts`` of what ``key`` and ``crowd`` name.
+    """
     dealt = rows.repartition(partitions, "grp", "salt").sortWithinPartitions("grp", "salt")
-    names = ("key", "lo", "hi", "salt", "context", "starts", "n")
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    names = ("key", "crowd", "lo", "hi", "context", "starts", "n")
+    kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
 
     def settle(held: list):
-        """held: (salted, {context: [(key, starts)]}) of whole groups."""
+        """held: (salted, {context: [(key, crowd, n, starts)]}) of whole groups."""
         out, several = [], []
 
-        def say(context, places, repeated):
+        def say(places, repeated):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8)))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for key, starts in places:
+                for key, crowd, _, starts in places:
                     for s in np.frombuffer(starts, "<u8").tolist():
-                        out.append((key, s + a, s + b, None, None, None, None))
+                        out.append((key, crowd, s + a, s + b, None, None, None))
 
         for salted, group in held:
-            if salted or sum(len(s) // 8 for places in group.values() for _, s in places) > 1:
+            if salted or sum(p[2] for places in group.values() for p in places) > 1:
                 several.append((salted, group))
         if several:
-            lists = [[(c, sum(len(s) // 8 for _, s in p)) for c, p in g.items()] for _, g in several]
+            lists = [[(c, sum(p[2] for p in places)) for c, places in g.items()] for _, g in several]
             classes, total = _index(lists, length)
             at = 0
             for salted, group in several:
@@ -437,21 +443,21 @@ def repeated_windows(rows: DataFrame, length: int, partitions: int) -> DataFrame
                     cls = classes[at]
                     at += 1
                     again = total[cls] > 1
-                    say(context, places, again)
+                    say(places, again)
                     for i in range(len(cls)) if salted else ():
                         # One of each class meets the other salts; one that is decided needs no answer.
                         if int(cls[i]) not in spoken:
                             spoken.add(int(cls[i]))
-                            key, starts = places[0]
-                            where = b"" if again[i] else (np.frombuffer(starts, "<u8")[:1] + np.uint64(i)).astype("<u8").tobytes()
-                            out.append((key, None, None, 0, context[i : i + length], where, 2 if again[i] else 1))
+                            key, crowd, _, starts = places[0]
+                            where = (np.frombuffer(starts, "<u8")[:1] + np.uint64(i)).astype("<u8").tobytes()
+                            out.append((None if again[i] else key, crowd, None, None, context[i : i + length], where, 2 if again[i] else 1))
         for lo in range(0, len(out), 50_000):
             yield _rows(out[lo : lo + 50_000], names, kinds)
 
     def run(batches):
         held, size, now, salted, group = [], 0, None, False, {}
         for b in batches:
-            for grp, salt, context, key, starts in zip(*(b.column(c).to_pylist() for c in ("grp", "salt", "context", "key", "starts"))):
+            for grp, salt, context, *place in zip(*(b.column(c).to_pylist() for c in ("grp", "salt", "context", "key", "crowd", "n", "starts"))):
                 if (grp, salt) != now:
                     if group:
                         held.append((salted, group))
@@ -462,38 +468,72 @@ def repeated_windows(rows: DataFrame, length: int, partitions: int) -> DataFrame
                 if context not in group:
                     group[context] = []
                     size += len(context)
-                group[context].append((key, starts))
+                group[context].append(place)
         if group:
             held.append((salted, group))
         if held:
             yield from settle(held)
 
-    return dealt.mapInArrow(run, "key binary, lo long, hi long, salt int, context binary, starts binary, n long")
+    return dealt.mapInArrow(run, "key binary, crowd boolean, lo long, hi long, context binary, starts binary, n long")
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """key, lo, hi at every start of rows of key, starts, lo, hi."""
+
+    def run(batches):
+        for b in batches:
+            starts = b.column("starts").to_pylist()
+            n = np.array([len(x) // 8 for x in starts], np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            at = np.frombuffer(b"".join(starts), "<u8").astype(np.int64)
+            lo, hi = (b.column(c).to_numpy(zero_copy_only=False)[own] + at for c in ("lo", "hi"))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(own)), pa.array(lo), pa.array(hi)], ["key", "lo", "hi"])
+
+    return rows.select("key", "starts", "lo", "hi").mapInArrow(run, "key binary, lo long, hi long")
 
 
 def removed_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(texts: key, copies; windows: key, lo, hi), the second for strings shared by different texts or places of a text."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    found = written(find_anchors(docs, length), "anchors")
+    """(texts: key, copies; windows: key, lo, hi), the second for strings shared by different texts or places of a text.
+
+    Tables that later steps no longer read are removed at once.
+    """
+    spark = docs.sparkSession
+    buckets = shuffle_partitions(spark)
+    found, found_path = written_at(find_anchors(docs, length), "anchors")
+    copies = written(found.groupBy("key").agg(F.count("*").alias("copies")), "copies")
     texts = found.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"),
-        F.first("n_runs").alias("n_runs"), F.first("runs").alias("runs"),
-    )
-    blocks = written(anchor_blocks(texts, buckets), "blocks")
-    runs = candidate_runs(blocks, count_anchors(blocks, buckets), buckets, length)
-    made = written(repeated_windows(contexts(docs, runs, length), length, buckets), "repeats")
-    windows = made.where("lo is not null").select("key", "lo", "hi")
-    salted = made.where("context is not null")
-    if not salted.isEmpty():
-        # Each different window under its own hash; one decided already counts as two places.
-        again = salted.select(
-            F.xxhash64("context").alias("grp"), F.lit(0).alias("salt"), "context", "key", F.lit(1).cast("long").alias("n"),
-            F.when(F.col("n") > 1, F.unhex(F.lit("00" * 16))).otherwise(F.col("starts")).alias("starts"), (F.col("n") > 1).alias("known"),
-        )
-        again = again.withColumn("key", F.when(F.col("known"), F.lit(None).cast("binary")).otherwise(F.col("key"))).drop("known")
-        more = repeated_windows(again, length, buckets).where("lo is not null and key is not null")
-        windows = windows.unionByName(more.select("key", "lo", "hi"))
-    return found.groupBy("key").agg(F.count("*").alias("copies")), windows
+        F.min("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("n_runs").alias("n_runs"), F.first("runs").alias("runs")
+    )
+    blocks, blocks_path = written_at(anchor_blocks(texts, buckets), "blocks")
+    delete(spark, found_path)
+    made = written(contexts(docs, candidate_runs(blocks, count_anchors(blocks, buckets), buckets, length), length), "contexts")
+    delete(spark, blocks_path)
+    columns = ["grp", "salt", "context", "key", "crowd", "n", "starts"]
+    rows = made.where("not crowd").withColumn("salt", F.lit(0)).select(*columns)
+    crowded = made.where("crowd")
+    some = not crowded.isEmpty()
+    if some:
+        # One row a different context: the count combines before the shuffle, however many places share it.
+        different = written(crowded.groupBy("grp", "name", "context").agg(F.sum("n").alias("n")), "different")
+        salts = different.groupBy(F.col("grp").alias("__g")).agg(F.ceil(F.count("*") / SALT_CONTEXTS).alias("__salts"))
+        different = different.join(salts, F.col("grp") == F.col("__g"))
+        salt = F.when(F.col("__salts") > 1, F.pmod(F.xxhash64("name"), F.col("__salts")) + 1).otherwise(0).cast("int")
+        different = different.select("grp", salt.alias("salt"), "context", F.col("name").alias("key"), F.lit(True).alias("crowd"), "n", F.unhex(F.lit("00" * 8)).alias("starts"))
+        rows = rows.unionByName(different.select(*columns))
+    ruled = written(repeated_windows(rows, length, buckets), "repeats")
+    windows = ruled.where("lo is not null and not crowd").select("key", "lo", "hi")
+    if some:
+        verdicts = ruled.where("lo is not null and crowd").select("key", "lo", "hi")
+        salted = ruled.where("context is not null")
+        if not salted.isEmpty():
+            # Each different window under its own hash; one decided already counts as two places.
+            again = salted.select(F.xxhash64("context").alias("grp"), F.lit(0).alias("salt"), "context", "key", "crowd", "n", "starts")
+            more = repeated_windows(again, length, buckets).where("lo is not null and key is not null")
+            verdicts = verdicts.unionByName(more.select("key", "lo", "hi"))
+        # Two tables meet by name, so that the places of a context that very many share can be split.
+        verdicts = written(verdicts.withColumnRenamed("key", "__name"), "verdicts")
+        windows = windows.unionByName(_moved(crowded.select("name", "key", "starts").join(verdicts, F.col("name") == F.col("__name"))))
+    return copies, windows
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
@@ -503,7 +543,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, with_text: bool = False) ->
     else too, in the same text or another; strings are judged on the input.  Null
     texts are empty.  Texts shorter than ``length`` stay.  Repeated rows are copies
     of each other.  A null doc_id keeps its row.  An empty table gives no rows.
-    ``kept`` is binary, since a cut can fall inside a character.
+    Texts of any length are judged whole, hashed in pieces that overlap.  Columns
+    beyond doc_id and text are left out, whatever their names.  ``kept`` is binary,
+    since a cut can fall inside a character.
     """
     copies, windows = removed_windows(docs, length)
     spans = windows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
