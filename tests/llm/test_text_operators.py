@@ -66,7 +66,7 @@ def suffix_table(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup(spark, small, monkeypatch):
     if small:  # several pieces, indexes and blocks; every group salted
-        for name, value in (("PIECE", 300), ("INDEX_BYTES", 2000), ("BLOCK_TEXTS", 10), ("CROWD", 3), ("SALT_CONTEXTS", 2)):
+        for name, value in (("PIECE", 300), ("INDEX_BYTES", 2000), ("BLOCK_TEXTS", 10), ("CROWD", 3), ("SPLIT_CONTEXTS", 2)):
             monkeypatch.setattr(suffix_dedup, name, value)
     d = suffix_table(spark)
     expected = suffix_reference([(r.doc_id, r.text, None) for r in d.collect()], 200)
@@ -75,6 +75,7 @@ def test_suffix_dedup(spark, small, monkeypatch):
 
 def test_a_passage_in_a_crowd_of_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", 40)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_CONTEXTS", 30)
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     licence = word(1200)
@@ -86,8 +87,10 @@ def test_a_passage_in_a_crowd_of_documents(spark, monkeypatch):
     expected = suffix_reference([(r.doc_id, r.text, None) for r in d.collect()], 200)
     assert rows_of(suffix_dedup.suffix_dedup(d)) == sorted(expected)
     # An inner context is one row, whatever the number of its places.
-    table = indexed[0].select("grp", "context", "n").toPandas()
-    assert not table.duplicated(["grp", "context"]).any() and table.n.max() >= 121
+    for rows in indexed:
+        table = rows.select("grp", "context", "n").toPandas()
+        assert not table.duplicated(["grp", "context"]).any() and table.grp.value_counts().max() <= 40
+    assert len(indexed) == 2 and table.n.max() >= 1 and indexed[0].agg({"n": "max"}).first()[0] >= 121
 
 
 def test_suffix_dedup_keeps_text_and_spans(spark):

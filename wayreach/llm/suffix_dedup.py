@@ -18,9 +18,11 @@ steps around it bring together the places that can hold the same string.
    suffixes by breadth-first backward extension, by increasing value, and stops at
    ``length``.  Neighbours that are undecided then share at least ``length`` bytes,
    and windows of a class that stands for more than one place are repeated.
-6. Groups of very many different contexts are salted, as many salts as they need;
-   each salt's different windows then meet under their own hash and run through
-   step 5 once more.
+6. A group of very many different contexts is dealt out anew.  A context is cut into
+   stretches of a few windows by their distance from the anchor; the bytes that all
+   windows of a stretch share name its new group, so only contexts that are equal up
+   to a few bytes meet again.  Where these are still too many, stretches are single
+   windows, and equal ones are counted.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ PLACE = np.uint64(20)
 BLOCK_TEXTS, BLOCK_BYTES = 8192, 4 << 20
 #: Bytes of contexts that one index holds; a group is not divided unless salted.
 INDEX_BYTES = 1 << 21
-#: Occurrences of an anchor beyond which equal contexts are counted first, and different contexts a salt aims at.
-CROWD, SALT_CONTEXTS = 1_000, 4_000
+#: Occurrences of an anchor beyond which equal contexts are counted first, and different contexts beyond which a group is dealt out anew.
+CROWD, SPLIT_CONTEXTS = 1_000, 1_000
+#: Windows of a stretch, step by step; the last is one.
+STRETCHES = (12, 1)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -141,6 +145,7 @@ def _open_runs(runs: bytes, n: int):
     return first, first + np.frombuffer(rest, "<u2", n, 4 * n).astype(np.int64), h
 
 
+_ALL = (1 << 64) - 1
 _BLOCK_SCHEMA = "block long, bucket int, n long, payload binary"
 
 
@@ -217,7 +222,7 @@ def count_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def candidate_runs(blocks: DataFrame, grades: DataFrame, buckets: int, length: int) -> DataFrame:
-    """key, doc_id, n, runs (hash, first window, windows, crowded) of the texts that have candidates."""
+    """key, doc_id, n, runs (hash, first window, windows, anchor from the first window, crowded) of the texts that have candidates."""
     meet = blocks.select("block", "bucket", "n", "payload", F.lit(0).alias("kind")).unionByName(grades.withColumn("kind", F.lit(1)))
     meet = meet.repartition(buckets, "block").sortWithinPartitions("block", "bucket", "kind")
 
@@ -235,7 +240,7 @@ def candidate_runs(blocks: DataFrame, grades: DataFrame, buckets: int, length: i
             lo, hi, keep = first, end, ~lone
             if keep.any():
                 m = int(keep.sum())
-                out.append((key, doc_id, m, _pack(h[keep], lo[keep].astype("<u8"), (hi - lo)[keep].astype("<u4"), (g[keep] > 1).astype("u1"))))
+                out.append((key, doc_id, m, _pack(h[keep], lo[keep].astype("<u8"), (hi - lo)[keep].astype("<u4"), (anchor - lo)[keep].astype("<u2"), (g[keep] > 1).astype("u1"))))
         return out
 
     def run(batches):
@@ -265,16 +270,16 @@ def candidate_runs(blocks: DataFrame, grades: DataFrame, buckets: int, length: i
     return meet.mapInArrow(run, "key binary, doc_id long, n long, runs binary")
 
 
-_CONTEXT_SCHEMA = "grp long, crowd boolean, name binary, context binary, key binary, n long, starts binary"
+_CONTEXT_SCHEMA = "grp long, crowd boolean, name binary, context binary, off int, key binary, n long, starts binary"
 
 
 def contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """grp, crowd, name (128-bit hash), context, key, n, starts: each text's different contexts and where its runs begin."""
+    """grp, crowd, name (128-bit hash), context, off (its anchor), key, n, starts: each text's different contexts and where its runs begin."""
     own = runs.select("key", F.col("doc_id").alias("__id"), F.col("n").alias("m"), "runs")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("__key"))
     rows = rows.join(own, (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("key", "text", "m", "runs")
-    names = ("grp", "crowd", "name", "context", "key", "n", "starts")
-    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+    names = ("grp", "crowd", "name", "context", "off", "key", "n", "starts")
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
     def run(batches):
         import xxhash
@@ -284,13 +289,14 @@ def contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             for key, text, m, packed in zip(*(b.column(c).to_pylist() for c in ("key", "text", "m", "runs"))):
                 data, raw = (text or "").encode("utf-8"), _unpack(packed)
                 grp, lo = np.frombuffer(raw, np.int64, m).tolist(), np.frombuffer(raw, "<u8", m, 8 * m).tolist()
-                n, crowd = np.frombuffer(raw, "<u4", m, 16 * m).tolist(), raw[20 * m :]
+                n, off, crowd = np.frombuffer(raw, "<u4", m, 16 * m).tolist(), np.frombuffer(raw, "<u2", m, 20 * m).tolist(), raw[22 * m :]
                 places: dict = {}
-                for g, s, k, c in zip(grp, lo, n, crowd):
-                    places.setdefault((g, c, data[s : s + k + length - 1]), []).append(s)
-                for (g, c, context), starts in places.items():
-                    name = xxhash.xxh3_128_digest(context, g & 0xFFFFFFFFFFFFFFFF) if c else None
-                    out.append((g, bool(c), name, context, key, len(starts), np.array(starts, "<u8").tobytes()))
+                for g, s, k, o, c in zip(grp, lo, n, off, crowd):
+                    # Equal contexts of an anchor have it at equal offsets.
+                    places.setdefault((g, c, data[s : s + k + length - 1], o), []).append(s)
+                for (g, c, context, o), starts in places.items():
+                    name = xxhash.xxh3_128_digest(context, g & _ALL) if c else None
+                    out.append((g, bool(c), name, context, o, key, len(starts), np.array(starts, "<u8").tobytes()))
                     size += len(context)
                 if size > 16 << 20:
                     yield _rows(out, names, kinds)
@@ -410,71 +416,78 @@ def _index(groups: list, length: int):
 
 
 def repeated_windows(rows: DataFrame, length: int, partitions: int) -> DataFrame:
-    """key, crowd, lo, hi: runs of windows that are repeated; context set: a salted group's different windows.
+    """key, crowd, lo, hi: runs of windows that are repeated.
 
-    ``rows``: grp, salt, context, key, crowd, n, starts; a context counts ``n`` times
+    ``rows``: grp, context, key, crowd, n, starts; a context counts ``n`` times
     and lies at ``starts`` of what ``key`` and ``crowd`` name.
     """
-    dealt = rows.repartition(partitions, "grp", "salt").sortWithinPartitions("grp", "salt")
-    names = ("key", "crowd", "lo", "hi", "context", "starts", "n")
-    kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+    dealt = rows.repartition(partitions, "grp").sortWithinPartitions("grp")
+    names, kinds = ("key", "crowd", "lo", "hi"), (pa.binary(), pa.bool_(), pa.int64(), pa.int64())
 
     def settle(held: list):
-        """held: (salted, {context: [(key, crowd, n, starts)]}) of whole groups."""
-        out, several = [], []
-
-        def say(places, repeated):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8)))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for key, crowd, _, starts in places:
-                    for s in np.frombuffer(starts, "<u8").tolist():
-                        out.append((key, crowd, s + a, s + b, None, None, None))
-
-        for salted, group in held:
-            if salted or sum(p[2] for places in group.values() for p in places) > 1:
-                several.append((salted, group))
+        """held: {context: [(key, crowd, n, starts)]} of whole groups."""
+        out = []
+        several = [group for group in held if sum(p[2] for places in group.values() for p in places) > 1]
         if several:
-            lists = [[(c, sum(p[2] for p in places)) for c, places in g.items()] for _, g in several]
-            classes, total = _index(lists, length)
-            at = 0
-            for salted, group in several:
-                spoken = set()
-                for context, places in group.items():
-                    cls = classes[at]
-                    at += 1
-                    again = total[cls] > 1
-                    say(places, again)
-                    for i in range(len(cls)) if salted else ():
-                        # One of each class meets the other salts; one that is decided needs no answer.
-                        if int(cls[i]) not in spoken:
-                            spoken.add(int(cls[i]))
-                            key, crowd, _, starts = places[0]
-                            where = (np.frombuffer(starts, "<u8")[:1] + np.uint64(i)).astype("<u8").tobytes()
-                            out.append((None if again[i] else key, crowd, None, None, context[i : i + length], where, 2 if again[i] else 1))
+            classes, total = _index([[(c, sum(p[2] for p in places)) for c, places in g.items()] for g in several], length)
+            for places, cls in zip((places for g in several for places in g.values()), classes):
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], total[cls] > 1, [False]]).astype(np.int8)))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    for key, crowd, _, starts in places:
+                        out += [(key, crowd, s + a, s + b) for s in np.frombuffer(starts, "<u8").tolist()]
         for lo in range(0, len(out), 50_000):
             yield _rows(out[lo : lo + 50_000], names, kinds)
 
     def run(batches):
-        held, size, now, salted, group = [], 0, None, False, {}
+        held, size, now, group = [], 0, None, {}
         for b in batches:
-            for grp, salt, context, *place in zip(*(b.column(c).to_pylist() for c in ("grp", "salt", "context", "key", "crowd", "n", "starts"))):
-                if (grp, salt) != now:
+            for grp, context, *place in zip(*(b.column(c).to_pylist() for c in ("grp", "context", "key", "crowd", "n", "starts"))):
+                if grp != now:
                     if group:
-                        held.append((salted, group))
+                        held.append(group)
                         if size >= INDEX_BYTES:
                             yield from settle(held)
                             held, size = [], 0
-                    now, salted, group = (grp, salt), salt > 0, {}
+                    now, group = grp, {}
                 if context not in group:
                     group[context] = []
                     size += len(context)
                 group[context].append(place)
         if group:
-            held.append((salted, group))
+            held.append(group)
         if held:
             yield from settle(held)
 
-    return dealt.mapInArrow(run, "key binary, crowd boolean, lo long, hi long, context binary, starts binary, n long")
+    return dealt.mapInArrow(run, "key binary, crowd boolean, lo long, hi long")
+
+
+def stretches(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """grp, name, context, off, n, parent, at: contexts cut into stretches of ``width`` windows by distance from the anchor."""
+    names = ("grp", "name", "context", "off", "n", "parent", "at")
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            out = []
+            for grp, context, off, n, parent in zip(*(b.column(c).to_pylist() for c in ("grp", "context", "off", "n", "name"))):
+                last = len(context) - length  # windows 0 to last begin off, off - 1, ... before the anchor
+                for j in range((off - last) // width, off // width + 1):
+                    first, end = max(0, off - j * width - width + 1), min(last, off - j * width)
+                    part = context[first : end + length]
+                    # All windows of the stretch hold these bytes.
+                    core = context[off - j * width : off - j * width - width + 1 + length]
+                    own = xxhash.xxh3_64_intdigest(core, (grp + j) & _ALL)
+                    own -= (own >> 63) << 64
+                    out.append((own, xxhash.xxh3_128_digest(part, own & _ALL), part, off - first, n, parent, first))
+                    if len(out) >= 50_000:
+                        yield _rows(out, names, kinds)
+                        out = []
+            if out:
+                yield _rows(out, names, kinds)
+
+    return rows.mapInArrow(run, "grp long, name binary, context binary, off int, n long, parent binary, at long")
 
 
 def _moved(rows: DataFrame) -> DataFrame:
@@ -492,6 +505,37 @@ def _moved(rows: DataFrame) -> DataFrame:
     return rows.select("key", "starts", "lo", "hi").mapInArrow(run, "key binary, lo long, hi long")
 
 
+def judged(crowded: DataFrame, length: int, buckets: int, plain: DataFrame | None = None, widths: tuple = STRETCHES) -> tuple[DataFrame, DataFrame | None]:
+    """(what the index says of ``plain`` and of small groups, name, lo, hi of all repeated windows of ``crowded``; None without rows)."""
+    columns = ["grp", "context", "key", "crowd", "n", "starts"]
+    some = not crowded.isEmpty()
+    rows = [plain.select(*columns)] if plain is not None else []
+    if some:
+        # One row a different context: the count combines before the shuffle, however many places share it.
+        different = written(crowded.groupBy("grp", "name", "context", "off").agg(F.sum("n").alias("n")), "different")
+        sizes = different.groupBy(F.col("grp").alias("__g")).agg((F.count("*") > SPLIT_CONTEXTS).alias("__large"))
+        different = different.join(sizes, F.col("grp") == F.col("__g"))
+        small = different.where("not __large").withColumn("starts", F.unhex(F.lit("00" * 8)))
+        rows.append(small.select("grp", "context", F.col("name").alias("key"), F.lit(True).alias("crowd"), "n", "starts"))
+    rows = rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
+    ruled = written(repeated_windows(rows, length, buckets), "repeats")
+    if not some:
+        return ruled, None
+    verdicts = ruled.where("crowd").select(F.col("key").alias("name"), "lo", "hi")
+    large = different.where("__large").select("grp", "name", "context", "off", "n")
+    if not large.isEmpty():
+        parts = written(stretches(large, widths[0], length), "stretches")
+        if widths[0] == 1:
+            below = parts.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+            below = below.select("name", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"))
+        else:
+            below = judged(parts.select("grp", "name", "context", "off", "n"), length, buckets, None, widths[1:])[1]
+        below = written(below, "below").withColumnRenamed("name", "__name")
+        back = parts.join(below, F.col("name") == F.col("__name"))
+        verdicts = verdicts.unionByName(back.select(F.col("parent").alias("name"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")))
+    return ruled, verdicts
+
+
 def removed_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(texts: key, copies; windows: key, lo, hi), the second for strings shared by different texts or places of a text.
 
@@ -508,30 +552,12 @@ def removed_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     delete(spark, found_path)
     made = written(contexts(docs, candidate_runs(blocks, count_anchors(blocks, buckets), buckets, length), length), "contexts")
     delete(spark, blocks_path)
-    columns = ["grp", "salt", "context", "key", "crowd", "n", "starts"]
-    rows = made.where("not crowd").withColumn("salt", F.lit(0)).select(*columns)
-    crowded = made.where("crowd")
-    some = not crowded.isEmpty()
-    if some:
-        # One row a different context: the count combines before the shuffle, however many places share it.
-        different = written(crowded.groupBy("grp", "name", "context").agg(F.sum("n").alias("n")), "different")
-        salts = different.groupBy(F.col("grp").alias("__g")).agg(F.ceil(F.count("*") / SALT_CONTEXTS).alias("__salts"))
-        different = different.join(salts, F.col("grp") == F.col("__g"))
-        salt = F.when(F.col("__salts") > 1, F.pmod(F.xxhash64("name"), F.col("__salts")) + 1).otherwise(0).cast("int")
-        different = different.select("grp", salt.alias("salt"), "context", F.col("name").alias("key"), F.lit(True).alias("crowd"), "n", F.unhex(F.lit("00" * 8)).alias("starts"))
-        rows = rows.unionByName(different.select(*columns))
-    ruled = written(repeated_windows(rows, length, buckets), "repeats")
-    windows = ruled.where("lo is not null and not crowd").select("key", "lo", "hi")
-    if some:
-        verdicts = ruled.where("lo is not null and crowd").select("key", "lo", "hi")
-        salted = ruled.where("context is not null")
-        if not salted.isEmpty():
-            # Each different window under its own hash; one decided already counts as two places.
-            again = salted.select(F.xxhash64("context").alias("grp"), F.lit(0).alias("salt"), "context", "key", "crowd", "n", "starts")
-            more = repeated_windows(again, length, buckets).where("lo is not null and key is not null")
-            verdicts = verdicts.unionByName(more.select("key", "lo", "hi"))
+    plain, crowded = made.where("not crowd"), made.where("crowd")
+    ruled, verdicts = judged(crowded.select("grp", "name", "context", "off", "n"), length, buckets, plain)
+    windows = ruled.where("not crowd").select("key", "lo", "hi")
+    if verdicts is not None:
         # Two tables meet by name, so that the places of a context that very many share can be split.
-        verdicts = written(verdicts.withColumnRenamed("key", "__name"), "verdicts")
+        verdicts = written(verdicts, "verdicts").withColumnRenamed("name", "__name")
         windows = windows.unionByName(_moved(crowded.select("name", "key", "starts").join(verdicts, F.col("name") == F.col("__name"))))
     return copies, windows
 
