@@ -210,8 +210,18 @@ def test_gray_index_finds_every_near_pair(spark):
         assert components(len(fps), got) == expected
 
 
-def test_digest(docs, table):
-    rows = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), [-ord(c) for c in (r[1] or "")] + [1]))
+def ids_near_the_ends(spark):
+    top = (1 << 63) - 1
+    rows = [(top - i, f"word {i} " * (i % 7), "en", "s") for i in range(40)] + [(i - top - 1, f"low {i} " * (i % 5), "en", "s") for i in range(40)]
+    return documents(spark, rows + [(None, f"none {i}", "en", "s") for i in range(30)])
+
+
+@pytest.mark.parametrize("kind", ["awkward", "ends", "one"])
+def test_digest(spark, docs, kind):
+    docs = {"awkward": docs, "ends": ids_near_the_ends(spark), "one": documents(spark, [(1, "one alone", "en", "s")])}[kind]
+    table = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    tie = lambda t: -int(hashlib.md5((t or "").encode()).hexdigest(), 16)
+    rows = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
     out = []
     for k, (i, t, _) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""

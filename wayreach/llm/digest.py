@@ -5,9 +5,9 @@ differences, then hashed with the 128-bit xxhash.  Texts whose digests are equal
 compared byte for byte: copies collapse to one row a task before the shuffle, and a
 digest whose texts differ gives each different text a number of its own.
 
-The query's edited texts need the next document by id.  Ids are cut into ranges at
-approximate quantiles; a range gets the first document of the following range as a
-sentinel, so each task walks through its own sorted range and no task sees all rows.
+The query's edited texts need the next document by id.  Rows are sorted by ranges of
+id and each task walks through its own range; its first and last document go out as
+well, and the last of a range meets the first of the next in a second, small step.
 The only text that moves is each document once, to its range.
 """
 
@@ -43,14 +43,16 @@ def digest(canon: bytes) -> str:
 
 
 def with_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest: a row a document, without a shuffle."""
+    """doc_id, tie (md5 of the text), digest: a row a document, without a shuffle."""
 
     def run(batches):
         for b in batches:
-            d = [digest(canonical(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(d, pa.string())], ["doc_id", "digest"])
+            texts = b.column("text").to_pylist()
+            d = [digest(canonical(t)) for t in texts]
+            tie = [hashlib.md5((t or "").encode("utf-8")).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tie, pa.string()), pa.array(d, pa.string())], ["doc_id", "tie", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tie string, digest string")
 
 
 def clashes(canon: DataFrame) -> DataFrame:
@@ -66,100 +68,120 @@ def clashes(canon: DataFrame) -> DataFrame:
     return texts.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("text_sha")))
 
 
+_PAIR_SCHEMA = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
+    " next_fingerprint string, canon binary, edited_canon binary, sha binary, edited_sha binary, next_sha binary"
+)
+_PAIR = [(f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in _PAIR_SCHEMA.split(",")]
+#: What a task says of its first (head) and last (open) document; null in the rows of pairs.
+_EDGE = [("part", pa.int32()), ("head", pa.bool_()), ("text", pa.string()), ("flag", pa.bool_())]
+
+
+class _Walker:
+    """Turns documents and their next ones into rows; hands the same bytes on once."""
+
+    def __init__(self, edit_share: int):
+        self.edit_share, self.seen, self.size = edit_share, {}, 0
+
+    def once(self, d: str, c: bytes):
+        """The bytes, where this task has not handed on the same under this digest before."""
+        if self.seen.get(d) == c:
+            return None
+        if self.size > REMEMBERED:
+            self.seen.clear()
+            self.size = 0
+        self.seen[d] = c
+        self.size += len(c) + 100
+        return c
+
+    @staticmethod
+    def opened(name, text: str, flag: bool) -> tuple:
+        canon = canonical(text)
+        return name, text, digest(canon), canon, flag, hashlib.sha256(canon).digest()
+
+    def pair(self, own: tuple, after: tuple) -> tuple:
+        name, text, d, canon, flag, sha = own
+        _, next_text, next_d, _, _, next_sha = after
+        n = len(text)
+        k = n // self.edit_share
+        edited = text[: n - k] + next_text[:k] if k else text
+        ecanon = canonical(edited)
+        ed = digest(ecanon)
+        # An edited text can only share a bucket with its own document's or its next one's text here.
+        near = ed in (d, next_d)
+        return (
+            name, n, hashlib.sha256(edited.encode("utf-8")).hexdigest(), d, ed, next_d,
+            self.once(d, canon) if flag or near or d == next_d else None, self.once(ed, ecanon) if near else None,
+            sha, hashlib.sha256(ecanon).digest(), next_sha,
+        )
+
+
 def fingerprints(docs: DataFrame, edit_share: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A text's last floor(n_chars / ``edit_share``) code points give way to the first
     as many (or all) of the next document in descending doc_id, the first following
     the last.  Exact digests are alike (1.0) or not (0.0).  Null texts are empty.
-    Repeated ids follow each other by descending text; rows with a null id come
-    last.  A single document is its own next.  An empty table gives no rows.
+    Repeated ids follow each other by descending md5 of the text; rows with a null
+    id come last, in the same order.  A single document is its own next.  An empty
+    table gives no rows.  Texts of any length are taken whole.  Columns beyond
+    doc_id and text are left out, whatever their names.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(text.cast("binary")).alias("tie"), text.alias("text"), F.lit(1).alias("kind"))
     equal = written(with_digests(docs), "digests")
     # As a table of its own the join deals both sides anew, and a digest that very many share can be split.
     shared = written(equal.groupBy("digest").count().where("count > 1").select("digest"), "shared")
-    flags = equal.join(shared, "digest", "left_semi").select(F.col("doc_id").alias("id")).distinct()
-
-    parts = shuffle_partitions(spark)
-    cuts = rows.where("id is not null").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    cuts = sorted(set(cuts), reverse=True)
-    # Range 0 has the largest ids; null ids are in the last.
-    place = F.lit(len(cuts)) if not cuts else F.coalesce(
-        F.array_position(F.transform(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: F.col("id") >= c), True).cast("int"), F.lit(0)
-    )
-    if cuts:
-        place = F.when(F.col("id").isNull() | (place == 0), len(cuts)).otherwise(place - 1)
-    rows = rows.withColumn("range", place.cast("int"))
-    key = F.coalesce("id", F.lit(-(1 << 63)))
-    first = rows.groupBy("range").agg(F.max(key).alias("first"))  # one row a range
-    heads = rows.join(F.broadcast(first), "range").where(key == F.col("first")).groupBy("range").agg(F.max("text").alias("head"))
-    following = Window.orderBy("range")  # one row a range
-    heads = heads.withColumn("to", F.coalesce(F.lag("range").over(following), F.max("range").over(Window.partitionBy())))
-    sentinels = heads.select(F.col("to").alias("range"), F.lit(None).cast("long").alias("id"), F.col("head").alias("text"), F.lit(2).alias("kind"))
-    flagged = flags.withColumn("text", F.lit(None).cast("string")).withColumn("range", place.cast("int"))
-    every = (
-        rows.select("range", "id", "text", F.lit(1).alias("kind"))
-        .unionByName(flagged.select("range", "id", "text", F.lit(0).alias("kind")))
-        .unionByName(sentinels)
-    )
-    # In a range: ids descending, nulls after, each id's flag before its rows, the sentinel at the end.
-    every = every.repartition(parts, "range").sortWithinPartitions(
-        F.col("range"), (F.col("kind") == 2), F.col("id").desc_nulls_last(), "kind", F.col("text").desc()
-    )
-    schema = (
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-        " next_fingerprint string, canon binary, edited_canon binary, sha binary, edited_sha binary, next_sha binary"
-    )
+    flags = equal.join(shared, "digest", "left_semi").select(F.col("doc_id").alias("id"), "tie").distinct()
+    every = rows.unionByName(flags.select("id", "tie", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind")))
+    # A flag comes before the rows that it is for.
+    order = [F.col("id").desc_nulls_last(), F.col("tie").desc()]
+    every = every.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "kind")
+    fields = _PAIR + _EDGE
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
 
     def run(batches):
-        names = [f.split()[0] for f in schema.split(",")]
-        held, flagged_id = None, object()
-        seen: dict[str, bytes] = {}
-        size = 0
-
-        def once(d, c):
-            """The bytes, where this task has not handed on the same under this digest before."""
-            nonlocal size
-            if seen.get(d) == c:
-                return None
-            if size > REMEMBERED:
-                seen.clear()
-                size = 0
-            seen[d] = c
-            size += len(c) + 100
-            return c
+        from pyspark import TaskContext
 
+        part, walker, held, flagged = TaskContext.get().partitionId(), _Walker(edit_share), None, None
+        edge = lambda at, head: (at[0], *[None] * (len(_PAIR) - 1), part, head, at[1], at[4])
         for b in batches:
             out = []
-            for rng, i, text, kind in zip(*(b.column(c).to_pylist() for c in ("range", "id", "text", "kind"))):
+            for name, tie, own, kind in zip(*(b.column(c).to_pylist() for c in ("id", "tie", "text", "kind"))):
                 if kind == 0:
-                    flagged_id = i
+                    flagged = (name, tie)
                     continue
-                canon = canonical(text)
-                d, sha = digest(canon), hashlib.sha256(canon).digest()
-                if held is not None:
-                    pi, pt, pd, pcanon, pflag, psha = held
-                    n = len(pt)
-                    k = n // edit_share
-                    edited = pt[: n - k] + text[:k] if k else pt
-                    ecanon = canonical(edited)
-                    ed = digest(ecanon)
-                    # An edited text can only share a bucket with its own document's or its next one's text here.
-                    near = ed in (pd, d)
-                    out.append((
-                        pi, n, hashlib.sha256(edited.encode("utf-8")).hexdigest(), pd, ed, d,
-                        once(pd, pcanon) if pflag or near or pd == d else None, once(ed, ecanon) if near else None,
-                        psha, hashlib.sha256(ecanon).digest(), sha,
-                    ))
-                held = None if kind == 2 else (i, text, d, canon, i == flagged_id if i is not None else flagged_id is None, sha)
+                now = walker.opened(name, own, flagged == (name, tie))
+                out.append(edge(now, True) if held is None else (*walker.pair(held, now), *[None] * len(_EDGE)))
+                held = now
+            if out:
+                yield batch(out)
+        if held is not None:
+            yield batch([edge(held, False)])
+
+    walked = written(every.select("id", "tie", "text", "kind").mapInArrow(run, f"{_PAIR_SCHEMA}, part int, head boolean, text string, flag boolean"), "walked")
+    # One row a range that holds documents: its last one's next is the first of the range after it, round the end.
+    edges = walked.where("part is not null").select("doc_id", "part", "head", "text", "flag")
+    turn = Window.orderBy("part")
+    parts = edges.where("head").select("part").withColumn("to", F.coalesce(F.lead("part").over(turn), F.min("part").over(Window.partitionBy())))
+    heads = edges.where("head").select(F.col("part").alias("to"), F.col("text").alias("next_text"))
+    meet = edges.where("not head").join(parts, "part").join(heads, "to").select("doc_id", "text", "flag", "next_text")
+
+    def close(batches):
+        walker = _Walker(edit_share)
+        for b in batches:
+            out = [
+                walker.pair(walker.opened(name, own, flag), walker.opened(None, after, False))
+                for name, own, flag, after in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "flag", "next_text")))
+            ]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*out), [pa.int64(), pa.int64()] + [pa.string()] * 4 + [pa.binary()] * 5)], names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*out), _PAIR)], [n for n, _ in _PAIR])
 
-    made = written(every.mapInArrow(run, schema), "fingerprints")
+    inner = walked.where("part is null").select(*[n for n, _ in _PAIR])
+    made = inner.unionByName(written(meet.mapInArrow(close, _PAIR_SCHEMA), "edges"))
     canon = made.select(F.col("fingerprint").alias("digest"), "canon").unionByName(
         made.select(F.col("edited_fingerprint").alias("digest"), F.col("edited_canon").alias("canon"))
     )

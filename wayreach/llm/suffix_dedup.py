@@ -513,8 +513,8 @@ def judged(crowded: DataFrame, length: int, buckets: int, plain: DataFrame | Non
     if some:
         # One row a different context: the count combines before the shuffle, however many places share it.
         different = written(crowded.groupBy("grp", "name", "context", "off").agg(F.sum("n").alias("n")), "different")
-        sizes = different.groupBy(F.col("grp").alias("__g")).agg((F.count("*") > SPLIT_CONTEXTS).alias("__large"))
-        different = different.join(sizes, F.col("grp") == F.col("__g"))
+        sizes = different.groupBy(F.col("grp").alias("__g")).count().where(F.col("count") > SPLIT_CONTEXTS).select("__g")
+        different = different.join(sizes, F.col("grp") == F.col("__g"), "left").withColumn("__large", F.col("__g").isNotNull())
         small = different.where("not __large").withColumn("starts", F.unhex(F.lit("00" * 8)))
         rows.append(small.select("grp", "context", F.col("name").alias("key"), F.lit(True).alias("crowd"), "n", "starts"))
     rows = rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
