@@ -259,13 +259,29 @@ def test_token_files_round_trip(spark, docs, table):
     assert rows_of(token_files.token_files(docs, path)) == sorted(expected, key=lambda r: tuple((v is not None, v) for v in r))
 
 
-def test_export_writes_the_shards_as_files(spark, tmp_path):
-    d = documents(spark, [(2, "two words", "en", "s"), (1, "one", "en", "s")])
-    path = str(tmp_path / "table")
+def test_files_hold_the_shards_and_nothing_else(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 8)
+    d = documents(spark, [(i, f"one two {i} \n" * (i % 4), "en", "s") for i in range(30)] + [(None, "none", "en", "s")]).repartition(3)
+    path = str(tmp_path / "tokens")
     token_files.write_tokens(d, public_tokenizers.path("word_bpe_49k.json"), path)
-    n = token_files.export_shards(spark, path, str(tmp_path))
-    shards = [token_files.Shard(f.read_bytes()) for f in sorted(tmp_path.glob("*.wpfr"))]
-    assert n == len(shards) and [int(x) for s in shards for x in s.doc_ids] == [1, 2]
+    shards = [s for f in (tmp_path / "tokens").glob("part-*") for s in token_files.shards_of(f.read_bytes())]
+    shards.sort(key=lambda s: (s.part, s.seq))
+    assert [None if null else int(x) for s in shards for x, null in zip(s.doc_ids, s.null_ids)] == [None, *range(30)]
+    assert len(shards) > 8 and all((s.ids()[np.cumsum(s.lengths.astype(int)) - 1] == 1).all() for s in shards)
+    with pytest.raises(ValueError):
+        token_files.Shard(b"WPFR" + b"\xff" * 60)
+
+
+def test_other_steps_go_to_the_library():
+    import json
+
+    from tokenizers import Tokenizer
+
+    config = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    config["normalizer"]["normalizers"][1]["content"] = "x"
+    encoder = token_files.WordEncoder(json.dumps(config))
+    assert encoder.encode("a b  c").tolist() == Tokenizer.from_str(json.dumps(config)).encode("a b  c", add_special_tokens=False).ids
+    assert not encoder.known
 
 
 def test_blocks_hold_any_values():

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions
+from .common import documents, task_count
 
 #: Code points of text after which a block is closed; a longer document is a block of its own.
 BLOCK_CHARS = 6 << 20
@@ -190,7 +190,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(Path(ranks_path).read_bytes())
-    buckets = shuffle_partitions(spark)
+    buckets = task_count(docs)
     # Splitting again costs less than to write and move the positions twice.
     ids = encode_words(split_blocks(docs, pattern, buckets, True), pattern, ranks, buckets)
     met = split_blocks(docs, pattern, buckets, False).unionByName(ids).repartition(buckets, "block").sortWithinPartitions("block", "bucket")

@@ -76,6 +76,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input, as files hold them, that a task of a document shuffle aims at.
+TASK_BYTES = 32 << 20
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for a shuffle of ``df``: the session's shuffle partitions, or more where its files are larger.
+
+    The optimizer's size estimate counts; where it has none, the session's number stands.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = shuffle_partitions(df.sparkSession)
+    return own if size >= 1 << 60 else max(own, -(-size // TASK_BYTES))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     h = h ^ (h >> np.uint64(33))

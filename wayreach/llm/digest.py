@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, written
+from .common import documents, task_count, written
 
 #: Bytes of canonical texts a task remembers, to hand each on once.
 REMEMBERED = 32 << 20
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, edit_share: int = 3) -> DataFrame:
     every = rows.unionByName(flags.select("id", "tie", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind")))
     # A flag comes before the rows that it is for.
     order = [F.col("id").desc_nulls_last(), F.col("tie").desc()]
-    every = every.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "kind")
+    every = every.repartitionByRange(task_count(docs), *order).sortWithinPartitions(*order, "kind")
     fields = _PAIR + _EDGE
 
     def batch(out):

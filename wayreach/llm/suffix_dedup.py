@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, documents, mix64, shuffle_partitions, written, written_at
+from .common import delete, documents, mix64, task_count, written, written_at
 
 GRAM = 64
 #: Bytes that one hashing step works on (positions fit ``PLACE`` bits).
@@ -542,7 +542,7 @@ def removed_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     Tables that later steps no longer read are removed at once.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = task_count(docs)
     found, found_path = written_at(find_anchors(docs, length), "anchors")
     copies = written(found.groupBy("key").agg(F.count("*").alias("copies")), "copies")
     texts = found.groupBy("key").agg(

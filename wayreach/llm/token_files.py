@@ -5,9 +5,10 @@ A shard holds whole documents in ascending doc_id.  Its ids are cut into blocks
 that a percentile of them fits, and the rest as exceptions.  A shard begins with an
 index of its documents and of its blocks' starts, so a reader can go to any block.
 
-Shards are binary images in a table that Spark writes, a row each: the writer's
-commit protocol makes a retried or lost task harmless, and any store that Spark
-knows will do.  :func:`export_shards` puts the images into plain files.
+Spark writes the files: a file holds the images of some shards, each with a line
+feed after it, and nothing else.  The writer's commit protocol makes a retried or
+lost task harmless, and any store that Spark knows will do.  A shard's head has its
+place among all, so files can be read in any order.
 """
 
 from __future__ import annotations
@@ -24,19 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, kept_by_worker, new_path, shuffle_partitions
+from .common import documents, kept_by_worker, new_path, task_count, written
 
 MAGIC = b"WPFR"
 BLOCK = 1024
 PERCENTILE = 90
 #: A shard is closed at so many ids; a longer document has a shard of its own.
 SHARD_IDS = 1 << 19
-_HEAD = "<4sIQII"
+#: Shards of a file.
+FILE_SHARDS = 64
+#: mark, length of the image, part and place in it, documents, ids, block size, blocks
+_HEAD = "<4sQIIIQII"
 #: min, width, number of exceptions, of each block
 _BLOCK = np.dtype([("low", "<u4"), ("width", "u1"), ("odd", "<u2")])
 
 
-def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, lengths: np.ndarray) -> bytes:
+def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, lengths: np.ndarray, part: int = 0, seq: int = 0) -> bytes:
     """The binary image of a shard: head, document index, block heads, block starts, blocks."""
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -57,26 +61,26 @@ def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, lengt
     body = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        for part in np.array_split(own, max(1, len(own) // 64)):
-            bits = (rest[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-            body[starts[part].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
+        for some in np.array_split(own, max(1, len(own) // 64)):
+            bits = (rest[some][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
+            packed = np.packbits(bits.astype(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+            body[starts[some].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
     for b in np.flatnonzero(heads["odd"]):
         where = np.flatnonzero(odd[b])
         patch = where.astype("<u2").tobytes() + rest[b, where].astype("<u4").tobytes()
         begin = int(starts[b]) + int(width[b]) * (BLOCK // 8)
         body[begin : begin + len(patch)] = np.frombuffer(patch, np.uint8)
-    head = struct.pack(_HEAD, MAGIC, len(doc_ids), n, BLOCK, blocks)
     index = doc_ids.astype("<i8").tobytes() + null_ids.astype("u1").tobytes() + lengths.astype("<u8").tobytes()
-    return b"".join([head, index, heads.tobytes(), starts.tobytes(), body.tobytes()])
+    rest = b"".join([index, heads.tobytes(), starts.tobytes(), body.tobytes()])
+    return struct.pack(_HEAD, MAGIC, struct.calcsize(_HEAD) + len(rest), part, seq, len(doc_ids), n, BLOCK, blocks) + rest
 
 
 class Shard:
     """Reads a shard's image: the documents' index at once, ids on demand."""
 
     def __init__(self, image: bytes):
-        magic, docs, self.n, self.block, blocks = struct.unpack_from(_HEAD, image)
-        if magic != MAGIC:
+        magic, self.size, self.part, self.seq, docs, self.n, self.block, blocks = struct.unpack_from(_HEAD, image)
+        if magic != MAGIC or self.size > len(image):
             raise ValueError("not a token shard")
         at = struct.calcsize(_HEAD)
 
@@ -88,7 +92,7 @@ class Shard:
 
         self.doc_ids, self.null_ids, self.lengths = take("<i8", docs), take("u1", docs), take("<u8", docs)
         self.heads, self.starts = take(_BLOCK, blocks), take("<u8", blocks + 1)
-        self.body = np.frombuffer(image, np.uint8, offset=at)
+        self.body = np.frombuffer(image, np.uint8, self.size - at, at)
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Ids from ``begin`` to ``end``; only the blocks that hold them are unpacked."""
@@ -110,6 +114,15 @@ class Shard:
         return out.ravel()[begin - first * self.block : end - first * self.block]
 
 
+def shards_of(content: bytes):
+    """The shards of a file's bytes, in its order."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        shard = Shard(view[at:])
+        yield shard
+        at += shard.size + 1  # the line feed
+
+
 class WordEncoder(dict):
     """Ids as the tokenizers library gives them; what stands between white space is encoded once and remembered.
 
@@ -119,7 +132,13 @@ class WordEncoder(dict):
     the library whole.
     """
 
-    KNOWN = ("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel")
+    # The steps that are known, as a file states them.
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUTS = [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+    MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False}
     REMEMBER = 600_000
 
     def __init__(self, config: str):
@@ -129,9 +148,9 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(config)
         spec = json.loads(config)
-        steps = tuple(x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", []))
-        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.known = (steps, tuple(x["type"] for x in cuts)) == self.KNOWN and spec["model"]["type"] == "BPE"
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+        normal = (spec.get("normalizer") or {}).get("normalizers")
+        self.known = normal == self.NORMAL and cuts == self.CUTS and {k: spec["model"].get(k) for k in self.MODEL} == self.MODEL
         if self.known:
             self.words = regex.compile(cuts[0]["pattern"]["Regex"])
             marks = [x["content"] for x in spec.get("added_tokens", [])]
@@ -171,15 +190,14 @@ def _byte_letters() -> list[str]:
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
-    """Encodes every text (null as empty), appends ``end_id``, writes shards in ascending doc_id to ``path``.
+    """Encodes every text (null as empty), appends ``end_id``, writes shards in ascending doc_id to files at ``path``.
 
     Null doc_ids come first; repeated ids follow each other by text.
     """
     spark = docs.sparkSession
     config = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("image", pa.binary())])
+    rows = rows.repartitionByRange(task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -193,8 +211,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             lengths = np.array([len(x) for x in held], np.uint64)
             known = np.array([n or 0 for n in names], np.int64)
             nulls = np.array([n is None for n in names])
-            image = pack_shard(np.concatenate(held), known, nulls, lengths)
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, seq, size, image), schema)], schema=schema)
+            image = pack_shard(np.concatenate(held), known, nulls, lengths, part, seq)
+            return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], ["image"])
 
         end = np.array([end_id], np.uint32)
         for b in batches:
@@ -209,56 +227,56 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if held:
             yield close()
 
-    # The images are packed already.
-    rows.mapInArrow(run, "part int, seq int, n_ids long, image binary").write.option("compression", "lz4_raw").parquet(path)
+    # A cast of bytes to a string keeps them as they are, and so does the writer of lines.
+    images = rows.mapInArrow(run, "image binary").select(F.col("image").cast("string"))
+    images.write.option("compression", "none").option("maxRecordsPerFile", FILE_SHARDS).text(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the shards at ``path``."""
-    schema = "part int, seq int, n_ids long, image binary"
-    table = spark.read.schema(schema).parquet(path)
-    totals = table.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a written partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("own")).join(totals, "part")
-    starts = starts.select("part", "seq", (F.col("own") + F.col("base")).alias("shard_start"))
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files at ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    names = ["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"]
 
     def run(batches):
         for b in batches:
-            for part, seq, image in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "image"))):
-                shard = Shard(image)
-                ids = shard.ids().astype("<u4")
-                ends = np.cumsum(shard.lengths.astype(np.int64))
-                begins = ends - shard.lengths.astype(np.int64)
-                crcs = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(begins.tolist(), ends.tolist())]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()),
-                        pa.array(shard.doc_ids, pa.int64(), mask=shard.null_ids.astype(bool)), pa.array(begins), pa.array(ends - begins),
-                        pa.array(crcs, pa.int64()),
-                    ],
-                    ["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"],
-                )
-
-    read = table.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+            for content in b.column("content"):
+                for shard in shards_of(content.as_buffer()):
+                    ids = shard.ids().astype("<u4")
+                    ends = np.cumsum(shard.lengths.astype(np.int64))
+                    begins = ends - shard.lengths.astype(np.int64)
+                    crcs = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(begins.tolist(), ends.tolist())]
+                    n = len(ends)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([shard.part] * n, pa.int32()), pa.array([shard.seq] * n, pa.int32()),
+                            pa.array(shard.doc_ids, pa.int64(), mask=shard.null_ids.astype(bool)), pa.array(begins), pa.array(ends - begins),
+                            pa.array(crcs, pa.int64()),
+                        ],
+                        names,
+                    )
+
+    # The documents' rows are few bytes each: written once, they tell where parts and shards begin.
+    read = written(files.mapInArrow(run, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long"), "tokens-read")
+    shards = read.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
+    parts = shards.groupBy("part").agg(F.sum("n").alias("all"))  # one row a written partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shards.select("part", "seq", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("own")).join(parts, "part")
+    starts = starts.select("part", "seq", (F.col("own") + F.col("base")).alias("shard_start"))
     return read.join(starts, ["part", "seq"]).select(
         "doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def export_shards(spark, path: str, folder: str) -> int:
-    """Writes each shard as a plain file in a local ``folder``, one at a time; returns their number."""
-    n = 0
-    for row in spark.read.parquet(path).orderBy("part", "seq").toLocalIterator():
-        Path(folder, f"{row.part:06d}-{row.seq:06d}.wpfr").write_bytes(row.image)
-        n += 1
-    return n
-
-
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Writes the shards to the shared folder and reports the documents from them.  An empty table gives no rows."""
+    """Writes the token files to the shared folder and reports the documents from them.
+
+    Null texts are empty and have the end id alone.  Repeated rows come out as often
+    as they came in.  An empty table gives no rows.  A text longer than a shard has
+    a shard of its own.  Columns beyond doc_id and text are left out, whatever their
+    names.
+    """
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_path, path, end_id)
     return read_tokens(docs.sparkSession, path)
