@@ -8,7 +8,7 @@ import pytest
 from cases import components, documents, rows_of
 
 import corpus_pipeline
-from wayreach.llm import embedding_dedup, mixing, quality, toxicity
+from wayreach.llm import common, embedding_dedup, mixing, quality, toxicity
 from wayreach.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -53,8 +53,20 @@ def test_quality_scores_every_row(spark):
         assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert quality.score_quality(d.limit(0), model).count() == 0
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (None, 1)], "doc_id long, quality int")
-    texts, y = quality.labelled_sample(d, labels, "quality", quality.is_held_out)
-    assert len(texts) == len(y) <= 2
+    texts, y, declared = quality.labelled_sample(d, labels, "quality", quality.is_held_out)
+    assert len(texts) == len(y) == len(declared) <= 2 and declared == [len(t) for t in texts]
+    with pytest.raises(ValueError):
+        quality.score_quality(d, model, carry=["doc_id", "score"])
+
+
+def test_a_fit_reads_a_bounded_part(spark, monkeypatch):
+    d = documents(spark, [(i, "word " * 20, "en", "s") for i in range(60)] + [(3, "word " * 20, "en", "s")] * 30 + [(72, "x" * 900, "en", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    whole = quality.labelled_sample(d, labels, "quality", quality.is_held_out)[0]
+    assert "x" * 900 in whole and len(whole) == len({i for i in [*range(60), 72] if zlib.crc32(str(i).encode()) % 3 != 1})
+    monkeypatch.setattr(common, "FIT_CHARS", 500)
+    monkeypatch.setattr(common, "FIT_TOTAL_CHARS", 1_050)
+    assert quality.labelled_sample(d, labels, "quality", quality.is_held_out)[0] == ["word " * 20] * 10
 
 
 def test_toxicity_on_held_out_rows(labelled):
@@ -76,6 +88,20 @@ def test_grammar_weighs_the_clause():
     assert e("idiots") == 0 and e("stemming") == 1.0 and e("system") == 0 and e(None) == 0 and e("") == 0
 
 
+def test_the_composed_machine_is_the_machines_in_turn():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        clause = rng.choice(list(toxicity.SYMBOLS), rng.integers(1, 14))
+        states, state = [m.start for m in toxicity.MACHINES], toxicity.GRAMMAR.start
+        for symbol in clause:
+            state, out, weight = toxicity.GRAMMAR.step(state, symbol)
+            through, product = symbol, 1.0
+            for i, machine in enumerate(toxicity.MACHINES):
+                states[i], through, w = machine.step(states[i], through)
+                product *= w
+            assert (out, weight) == (through, pytest.approx(product))
+
+
 def test_toxicity_scores_every_row(spark):
     d = documents(spark)
     model = toxicity.fit_toxicity([], np.array([]))

@@ -185,8 +185,10 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
 
     ``ids_sha256`` is of the decimal ids joined by a space, ``decoded_sha256`` of the
     bytes that the ids stand for.  Null texts are empty and have no ids.  Repeated
-    rows come out as often as they came in; a null doc_id stays null.  ``docs`` is
-    read twice in the order of its partitions, so it should come from files.
+    rows come out as often as they came in; a null doc_id stays null.  An empty
+    table gives no rows.  A text longer than a block is a block of its own, split in
+    pieces.  Columns beyond doc_id and text are left out, whatever their names.
+    ``docs`` is read twice in the order of its partitions, so it should come from files.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(Path(ranks_path).read_bytes())

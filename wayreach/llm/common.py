@@ -10,7 +10,7 @@ import types
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space that the operators split and strip at.
@@ -67,6 +67,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bounds of what a fit reads of texts, in code points: of one text, and of all together.
+FIT_CHARS, FIT_TOTAL_CHARS = 200_000, 64_000_000
+
+
+def fit_rows(docs: DataFrame, ids: DataFrame, *also: str):
+    """A pandas table of __id, __y, text and ``also`` for a bounded table of labelled ids (__id, __y).
+
+    Ids come in the order of their hash, as long as their texts together have at
+    most ``FIT_TOTAL_CHARS`` code points; a text over ``FIT_CHARS`` is not fitted
+    on.  Of rows that repeat an id the one with the least text counts.
+    """
+    found = docs.select("doc_id", "text", *also).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    found = found.where(size <= FIT_CHARS).groupBy("__id", "__y").agg(F.min(F.struct("text", *also)).alias("__r")).select("__id", "__y", "__r.*")
+    order = Window.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id")  # as few rows as ids
+    upto = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("__upto", upto).where(F.col("__upto") <= FIT_TOTAL_CHARS).drop("__upto").orderBy("__id").toPandas()
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -30,6 +30,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     A null or empty text is one empty line and stays.  A null doc_id counts as no
     document: its lines go where a key is dropped elsewhere.  Repeated rows count
     as one document and each gets the same result.  An empty table gives no rows.
+    A text of any length is split whole.
     Columns of the input named as those added are replaced.
     """
     rows = docs.drop("kept_text", "n_lines", "n_dropped").withColumns(

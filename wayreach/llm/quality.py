@@ -3,9 +3,10 @@
 Every pairwise interaction of the features is modelled by low-rank factors and
 scored in linear time by the sum-of-squares identity
 ``sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i v_i x_i|^2 - sum_i |v_i x_i|^2) / 2``.
-The model is fitted on a bounded sample of labelled rows (``FIT_ROWS``, by hash of
-the id) and is a fixed 2^16 x 9 table whatever the corpus; scoring is one pass
-without a shuffle.
+Of a document's metadata its declared length is a feature; its id, language, source
+and labels never are.  The model is fitted on a bounded sample of labelled rows
+(``FIT_ROWS``, by hash of the id, and the bounds of ``common.fit_rows``) and is a
+fixed 2^16 x 9 table whatever the corpus; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, mix64
+from .common import crc_mod, documents, fit_rows, mix64
 
 #: Bound of the labelled rows that a fit reads.
 FIT_ROWS = 6_000
-#: Bound of a fitted row's text, in code points: longer texts are not fitted on, but scored whole.
-FIT_CHARS = 200_000
 HASH_BITS = 16
 RANK = 8
 #: Bytes of text that one hashing step works on.
@@ -35,7 +34,8 @@ STRUCTURE = (
     "space share", "distinct words share", "commonest word share", "repeated neighbours share", "full stops a line",
     "marks a word", "words with marks inside", "non-ASCII share", "blank lines share",
 )
-N_FEATURES = _N_WORD + len(STRUCTURE)
+METADATA = ("log declared code points",)
+N_FEATURES = _N_WORD + len(STRUCTURE) + len(METADATA)
 
 _KIND = np.zeros(256, np.uint8)  # 1 white space, 2 upper, 3 digit, 4 mark, 5 non-ASCII
 _KIND[[32, 9, 10, 11, 12, 13]] = 1
@@ -72,8 +72,12 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(index, value) of a text's features.  Long texts are hashed in pieces cut at white space."""
+def features(text: str | None, declared: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value) of a text's features.  Long texts are hashed in pieces cut at white space.
+
+    ``declared`` is the length that the document's row states; without one its own counts.
+    """
+    declared = len(text or "") if declared is None or declared < 0 else declared
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     kinds = np.bincount(_KIND[data], minlength=6)[:6]
     hashes, at = [], 0
@@ -97,8 +101,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         np.log1p(len(h)) / 8, np.log1p(lines) / 6, len(data) / n / 10, min(len(h) / lines / 20, 5), kinds[2] / size * 4,
         kinds[3] / size * 4, kinds[4] / size * 4, kinds[1] / size * 2, len(slot) / n, (count.max() if len(count) else 0) / n * 2,
         doubled / n * 4, min(int((data == 46).sum()) / lines, 5) / 3, kinds[4] / n, inside / n * 4, kinds[5] / size * 2, blank / lines,
+        np.log1p(declared) / 10,
     ])
-    return np.concatenate([slot, _N_WORD + np.arange(len(STRUCTURE))]), np.concatenate([value / norm, shape])
+    return np.concatenate([slot, np.arange(_N_WORD, N_FEATURES)]), np.concatenate([value / norm, shape])
 
 
 @dataclass
@@ -112,11 +117,13 @@ class FactorMachine:
         total = v.sum(axis=0)
         return float(self.bias + (self.weight[index] * value).sum() + 0.5 * ((total * total).sum() - (v * v).sum()))
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text)), -30, 30))))
+    def score(self, text: str | None, declared: int | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text, declared)), -30, 30))))
 
 
-def fit_machine(texts: list[str | None], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, l2: float = 2e-5, seed: int = 7) -> FactorMachine:
+def fit_machine(
+    texts: list[str | None], labels: np.ndarray, declared: list | None = None, epochs: int = 12, rate: float = 0.08, l2: float = 2e-5, seed: int = 7
+) -> FactorMachine:
     """AdaGrad on the logistic loss over all rows alike.
 
     Without rows, or with one class only, the model is a constant.
@@ -129,7 +136,7 @@ def fit_machine(texts: list[str | None], labels: np.ndarray, epochs: int = 12, r
         return model
     rng = np.random.default_rng(seed)
     model.factor = rng.normal(0, 0.02, (N_FEATURES, RANK))
-    rows = [features(t) for t in texts]
+    rows = [features(t, d) for t, d in zip(texts, declared or [None] * len(texts))]
     gw, gv, gb = np.full(N_FEATURES, 1e-3), np.full((N_FEATURES, RANK), 1e-3), 1e-3
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
@@ -149,15 +156,17 @@ def fit_machine(texts: list[str | None], labels: np.ndarray, epochs: int = 12, r
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out, rows: int = FIT_ROWS) -> tuple[list, np.ndarray]:
-    """Texts and 0/1 labels of at most ``rows`` labelled documents that aren't held out, by hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out, rows: int = FIT_ROWS) -> tuple[list, np.ndarray, list]:
+    """Texts, 0/1 labels and declared lengths of at most ``rows`` labelled documents that aren't held out, by hash of the id."""
     known = labels.where(F.col(column).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(column).alias("__y"))
     # Ids first: the texts are fetched for a bounded number of ids only.
     ids = known.where(~held_out(F.col("__id"))).orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    got = found.where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS).select("__id", "text", "__y")
-    table = got.orderBy("__id", "text").toPandas()
-    return table["text"].tolist(), table["__y"].to_numpy()
+    table = fit_rows(_declared(docs), ids, "__declared")
+    return table["text"].tolist(), table["__y"].to_numpy(), [None if d != d or d is None else int(d) for d in table["__declared"].tolist()]
+
+
+def _declared(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__declared", F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long"))
 
 
 def is_held_out(doc_id):
@@ -167,16 +176,21 @@ def is_held_out(doc_id):
 def score_quality(docs: DataFrame, model: FactorMachine, carry: tuple | list = ("doc_id",)) -> DataFrame:
     """The columns in ``carry``, score and predicted for every row; a null text scores as an empty one.
 
-    Carried columns named score or predicted are not allowed; name the input's apart first.
+    A score of 0.5 is predicted 1.  Equal rows score alike and each comes out; an
+    empty table gives no rows.  Texts of any length are scored whole.  Columns not
+    carried are left out, whatever their names; carried columns named score or
+    predicted raise, so name the input's apart first.
     """
+    if {"score", "predicted"} & set(carry):
+        raise ValueError("score and predicted are columns of the result; rename those to carry")
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight.astype(np.float32), model.factor.astype(np.float32)))
-    rows = docs.select(*carry, F.col("text").alias("__scored"))
-    schema = T.StructType(rows.schema.fields[:-1]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    rows = _declared(docs).select(*carry, F.col("text").alias("__scored"), "__declared")
+    schema = T.StructType(rows.schema.fields[:-2]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches):
         m = FactorMachine(*shared.value)
         for b in batches:
-            s = np.array([m.score(t) for t in b.column("__scored").to_pylist()], float)
+            s = np.array([m.score(t, d) for t, d in zip(b.column("__scored").to_pylist(), b.column("__declared").to_pylist())], float)
             kept = [b.column(i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*carry, "score", "predicted"])
 

@@ -179,7 +179,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     Null, empty and blank texts have fingerprint zero and link like any other.
     Texts of fewer words than a shingle hash as one.  Repeated rows come out as
     often as they came in.  A null doc_id keeps its row; where a component holds
-    no other id its component_id is null.  An empty table gives no rows.
+    no other id its component_id is null.  An empty table gives no rows.  Words
+    and shingles of very long texts stream through.  Columns beyond doc_id and text
+    are left out, whatever their names.
     """
     marked = written(with_fingerprints(docs, shingle), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -8,8 +8,9 @@ transducer turns each marked symbol into a factor of the word's own weight.  The
 score is a logistic function of the clauses' summed weight, not of isolated words.
 
 Word weights: a general list has a common weight; stems that the labelled sample
-shows to be telling have their log odds.  Two bounds hold for the
-fit (``FIT_TOXIC``, ``FIT_CLEAN`` labelled rows); scoring is one pass, no shuffle.
+shows to be telling have their log odds.  The fit is bounded (``FIT_TOXIC`` and
+``FIT_CLEAN`` labelled rows, and the bounds of ``common.fit_rows``); scoring is one
+pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -19,18 +20,17 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, fit_rows
 
 #: Bounds of the labelled rows that a fit reads, by label.
 FIT_TOXIC, FIT_CLEAN = 1_500, 3_000
-#: Longer texts, in code points, are not fitted on, but scored whole.
-FIT_CHARS = 100_000
 STEM_MIN, STEM_MAX = 5, 14
 #: Weight of listed words.
 LISTED = 5.0
@@ -90,7 +90,8 @@ def _scope(opener: str, length: int, marks: dict) -> Transducer:
     return t
 
 
-def _grammar() -> Transducer:
+def _machines() -> tuple[Transducer, ...]:
+    """Negation, reported speech, target and weighing, in the order in which symbols run through them."""
     negation = _scope("N", 3, {"I": "i", "H": "h"})  # lower case: negated
     report = Transducer(0)
     for s in "IHih":
@@ -106,12 +107,13 @@ def _grammar() -> Transducer:
         weigh.arcs[0, s] = (0, "!", w)
         # A threat needs someone to aim at; an insult is one by itself.
         weigh.arcs[0, s + "@"] = (0, "!", w * (1.2 if s[0] in "Ii" else 4.0))
-    out = negation.compose(report, "IHTNRO")
-    out = out.compose(target, "IHTNRO")
-    return out.compose(weigh, "IHTNRO")
+    return negation, report, target, weigh
 
 
-GRAMMAR = _grammar()
+#: The symbols of a clause's words: insult, threat, target, negation, reporting verb, other.
+SYMBOLS = "IHTNRO"
+MACHINES = _machines()
+GRAMMAR = reduce(lambda a, b: a.compose(b, SYMBOLS), MACHINES)
 
 
 @dataclass
@@ -239,15 +241,18 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, float
     ids = known.where("__y = 1").orderBy(by_hash, "__id").limit(FIT_TOXIC).unionByName(
         known.where("__y = 0").orderBy(by_hash, "__id").limit(FIT_CLEAN)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    found = found.where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
-    table = found.select("__id", "text", "__y").orderBy("__id", "text").toPandas()
+    table = fit_rows(docs, ids)
     share = known.where("__y IN (0, 1)").agg(F.avg("__y")).first()[0]
     return table["text"].tolist(), table["__y"].to_numpy(), share
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score, predicted for every row; null and empty texts score as texts without a match."""
+    """doc_id, score, predicted for every row; null and empty texts score as texts without a match.
+
+    A score of 0.5 is predicted 1.  Equal rows score alike and each comes out; an
+    empty table gives no rows.  Texts and clauses of any length are read whole.
+    Columns beyond doc_id and text are left out, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.calibration))
 
     def run(batches):
