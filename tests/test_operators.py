@@ -248,7 +248,12 @@ def test_sinks_round_trip(spark, tmp_path, sf):
     rows = spark.createDataFrame([("10101", 1)], "ubigeo string, n int")
     assert files.write_table(rows, str(tmp_path / "t")) and not files.write_table(rows.limit(0), str(tmp_path / "none"))
     assert files.read_output(spark, str(tmp_path / "t")).first().ubigeo == "010101"
-    assert files.manifest(spark, str(tmp_path / "t" / "*.csv")).count() == 1
+    listed = files.manifest(spark, str(tmp_path / "t" / "*.csv"))
+    source = {"filename": listed.first().filename, "key": "t", "url": "http://example.org/t.csv"}
+    entry = files.manifest(spark, str(tmp_path / "t" / "*.csv"), [source]).first()
+    assert listed.count() == 1 and (entry.key, entry.license, entry.origin, entry.bytes > 0) == ("t", "no declarada", "cache_local", True)
+    with pytest.raises(ValueError):
+        files.manifest(spark, str(tmp_path / "t" / "*.csv"), [{**source, "origin": "hearsay"}])
     files.write_log(validation.audit(rows, "x", {"many": F.col("n") > 5}), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log.json")).first().n_affected == 0
 
@@ -292,8 +297,15 @@ def test_whole_run_writes_its_tables(spark, sf, tmp_path):
 
     roads = lambda points, facilities: od.with_fallback(star.routed(od.all_pairs(points, facilities)))
     conf = replace(DEFAULT, budgets=(1, 2), cover_minutes=400.0)
-    out = run_all(star.demand(spark, sf), star.facilities(spark, sf), star.districts(spark, sf), roads, str(tmp_path), conf=conf)
+    walk = lambda points, facilities: roads(points, facilities).withColumn("minutes", F.col("minutes") * 6)
+    out = run_all(star.demand(spark, sf), star.facilities(spark, sf), star.districts(spark, sf), roads, str(tmp_path), conf=conf, modes={"foot": walk})
     assert out["metrics_national"].first().n_puntos == 150
+    assert {"lorenz", "sfca_summary", "snapping", "kpis", "snapping_foot", "cross_mode"} <= out.keys() and out["cross_mode"].first().profile == "foot"
+    written = next((tmp_path / "metrics_district_national.csv").glob("*.csv")).read_text().splitlines()
+    assert len(written) == 1 + out["metrics_district"].count() and written[1:] == sorted(written[1:], key=lambda x: x.split(",")[:4])
+    assert files.read_polygons(spark, str(tmp_path / "districts_national.json")).count() == 25 and (tmp_path / "od_foot").is_dir()
+    assert spark.read.parquet(str(tmp_path / "demand_sample_national.parquet")).count() == 150
+    assert replace(DEFAULT, scope="dev").folder("a/out/") == "a/out_dev" and replace(DEFAULT, testing=True).folder("out") == "out_test"
     assert (tmp_path / "metrics_district_national.csv").is_dir() and (tmp_path / "od").is_dir()
     gains = [r.poblacion_marginal for r in out["mclp_sequence"].orderBy("orden").collect()]
     assert gains == sorted(gains, reverse=True)

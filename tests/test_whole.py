@@ -2,13 +2,17 @@
 
 import heapq
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayreach import catalog
 from wayreach.conf import DEFAULT
+from wayreach.functions import stats
 from wayreach.functions.geo import haversine_km
-from wayreach.operators import models
+from wayreach.operators import backends, models
+from wayreach.plans.lineage import cut
 from wayreach.sources import star
 
 
@@ -55,33 +59,42 @@ def test_text_names_take_the_whole_text(spark, tmp_path):
     texts = {1: "año " * 40 + "Íñigo o'higgins", 2: "x" * 70 + "  élan", 3: ""}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.norm, r.titled) for r in catalog.QUERIES["text_names_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.norm, r.titled) for r in catalog.QUERIES["text_names"](spark, str(tmp_path)).collect()}
     assert got == {1: ("ANO " * 40 + "INIGO O'HIGGINS", "Año " * 40 + "Íñigo O'Higgins"), 2: ("X" * 70 + " ELAN", "X" + "x" * 69 + "  Élan"), 3: ("", "")}
 
 
-def test_plans_reach_the_largest_budget(spark, sf):
+@pytest.mark.parametrize("conf", [DEFAULT, replace(DEFAULT, budgets=(1, 2, 3), cover_minutes=120.0), replace(DEFAULT, cover_minutes=300.0)])
+def test_plans_reach_the_largest_budget(spark, sf, conf):
+    access, candidates = catalog.access(spark, sf), catalog.candidates(spark, sf)
+    pool = models.cover_pool(access, candidates, conf)
     covers, weight = defaultdict(set), {}
-    for r in models.cover_pool(catalog.access(spark, sf), catalog.candidates(spark, sf), catalog.WHOLE_PLAN).collect():
+    for r in pool.collect():
         covers[r.facility_id].add(r.demand_id)
         weight[r.demand_id] = r.design_weight
     gains, seen = [], set()
-    for _ in range(max(DEFAULT.budgets)):
+    for _ in range(max(conf.budgets)):
         gain, f = max(((sum(weight[i] for i in sorted(covers[f] - seen)), -f) for f in covers), default=(0.0, 0))
         if gain <= 0:
             break
         gains.append((-f, gain))
         seen |= covers[-f]
-    got = catalog.QUERIES["mclp_sequence_whole"](spark, sf).orderBy("orden").collect()
-    assert gains and [r.facility_id for r in got] == [f for f, _ in gains]
+    got = catalog.sequence(spark, sf, conf).orderBy("orden").collect()
+    assert [r.facility_id for r in got] == [f for f, _ in gains]
     assert [r.poblacion_marginal for r in got] == pytest.approx([g for _, g in gains], abs=0.01)
-    rows = catalog.QUERIES["mclp_frontier_whole"](spark, sf).orderBy("presupuesto").collect()
-    assert [(r.presupuesto, r.n_ascendidos) for r in rows] == [(b, min(b, len(gains))) for b in DEFAULT.budgets]
+    rows = catalog.frontier(spark, sf, conf).orderBy("presupuesto").collect()
+    assert [(r.presupuesto, r.n_ascendidos) for r in rows] == [(b, min(b, len(gains))) for b in conf.budgets]
+    # The distributed steps choose as the driver does, and a budget's cover is that of the scenario with its choices.
+    far = models.greedy_cover(pool, 3, cut, local_rows=0)
+    assert [f for f, _ in far] == [f for f, _ in gains[:3]] and [g for _, g in far] == pytest.approx([g for _, g in gains[:3]])
+    first = spark.createDataFrame([(f,) for f, _ in gains[: conf.budgets[0]]], "facility_id long")
+    one = models.coverage(access, candidates, first, conf.cover_minutes).first()
+    assert (rows[0].poblacion_cubierta, rows[0].t_medio_min) == pytest.approx((one.poblacion_cubierta, one.t_medio_min))
 
 
-def test_markers_are_not_cut_at_twenty(spark):
+def test_every_marker_is_drawn(spark):
     sf = "/root/testdata/sf0.1"
     ids = [r.facility_id for r in star.facilities(spark, sf).where("category in ('II-1', 'I-3')").select("facility_id").collect()]
-    got = [r.facility_id for r in catalog.QUERIES["facility_markers_whole"](spark, sf).collect()]
+    got = [r.facility_id for r in catalog.QUERIES["facility_markers"](spark, sf).collect()]
     assert len(got) == 200 and sorted(got) == sorted(ids)
 
 
@@ -90,5 +103,35 @@ def test_scope_spans_the_resolutive_facilities(spark, sf):
     west, east = min(x for x, _ in at) - DEFAULT.scope_pad_deg, max(x for x, _ in at) + DEFAULT.scope_pad_deg
     south, north = min(y for _, y in at) - DEFAULT.scope_pad_deg, max(y for _, y in at) + DEFAULT.scope_pad_deg
     inside = {r.way_id for r in catalog.ways(spark, sf).collect() if any(west <= p.lon <= east and south <= p.lat <= north for p in r.coords)}
-    got = {r.way_id for r in catalog.QUERIES["ways_in_scope_whole"](spark, sf).collect()}
-    assert got == inside
+    assert {r.way_id for r in catalog.QUERIES["ways_in_scope"](spark, sf).collect()} == inside
+
+
+def test_percentiles_are_those_of_the_sorted_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "ab"[int(i) % 2], None if i % 9 == 0 else float(round(x, 1))) for i, x in enumerate(rng.gamma(2, 3, 300))] + [(900, "c", 4.0)]
+    df = spark.createDataFrame(rows, "i int, k string, x double")
+    for spread in (1, 8):
+        got = {r.k: (r.m, r.p) for r in stats.percentiles(df, ["k"], "x", "i", {"m": 0.5, "p": 0.9}, spread).collect()}
+        for k in "abc":
+            own = [x for _, g, x in rows if g == k and x is not None]
+            assert got[k] == pytest.approx((np.percentile(own, 50), np.percentile(own, 90)))
+
+
+def test_tables_are_kept_by_their_inputs(spark):
+    o = spark.createDataFrame([(1, 0.1, 0.0)], "demand_id long, lon double, lat double")
+    d = spark.createDataFrame([(7, 0.0, 0.0)], "facility_id long, lon double, lat double")
+    asked = []
+
+    class Engine:
+        def table(self, origins, destinations, profile):
+            asked.append(profile)
+            return origins.crossJoin(destinations.select("facility_id")).select("demand_id", "facility_id", (F.col("lon") * 60).alias("route_minutes"))
+
+    backend = backends.KeptBackend("engine", Engine())
+    first = backend.table(o, d, "car").collect()
+    assert not backend.was_kept and backend.table(o, d, "car").collect() == first and backend.was_kept
+    backend.table(o.withColumn("lon", F.col("lon") + 1), d, "car")
+    backend.table(o, d, "foot")
+    assert asked == ["car", "car", "foot"]

@@ -15,15 +15,12 @@ from .conf import DEFAULT
 from .functions import geo, stats, text
 from .operators import backends, graph, models, od, sampling, validation
 from .plans import metrics, views
-from .plans.lineage import cut
-from .sources import star
+from .plans.lineage import cut, kept, scratch
+from .sources import files, star
 
-#: The sample that the models' sampling queries draw, and the planning budgets that SQL can unroll.
+#: The sample that the sampling queries draw, limits that mark some of its districts, and districts enough for quintiles.
 SAMPLE = replace(DEFAULT, max_demand_points=400, certainty_population=9000)
 THIN = replace(DEFAULT, min_points_per_district=65, min_direct_coverage=0.999)
-PLAN = replace(DEFAULT, budgets=(1, 2, 3), cover_minutes=120.0)
-#: The engine's own budgets, for the planning queries that SQL can't hold.
-WHOLE_PLAN = replace(PLAN, budgets=DEFAULT.budgets)
 FEW = replace(DEFAULT, min_districts=10)
 
 _LEVEL = (
@@ -48,7 +45,7 @@ COLUMNS = {
     "lorenz": "share_poblacion:8 share_tiempo_acumulado:8",
     "district_context": "ubigeo population rural_pop capital_pop ccpp_count primary_care_n area_sqkm:3 department province district"
     " rural_share:8 settlement_dispersion:8 population_density:6 primary_care_per_10k:6 altitude_m:3",
-    "cross_analysis": "variable n_distritos spearman_rho:8 t_medio_quintil_inferior:6 t_medio_quintil_superior:6 reportable",
+    "cross_analysis": "variable n_distritos spearman_rho:8 t_medio_quintil_inferior:6 t_medio_quintil_superior:6 reportable interpretacion",
     "temporal": "anio n_resolutivas poblacion:3 t_medio_min:6 t_mediano_min:6 share_hasta_30min:8 share_hasta_60min:8 share_hasta_120min:8",
     "temporal_change": "anio_inicial anio_final resolutivas_nuevas cambio_cobertura:8",
     "region_changes": "natural_region n_puntos n_reclasificados poblacion_reclasificada:3",
@@ -69,9 +66,6 @@ COLUMNS = {
     "mclp_sequence": "orden facility_id name category poblacion_marginal:3 poblacion_cubierta_acumulada:3",
     "mclp_frontier": "presupuesto n_ascendidos poblacion_cubierta:3 share_cubierta:8 ganancia_vs_base:3 t_medio_min:6 cota_superior_optimo:3"
     " garantia_voraz_pct_del_optimo:8 brecha_maxima_vs_cota:3",
-    "mclp_sequence_whole": "orden facility_id name category poblacion_marginal:3 poblacion_cubierta_acumulada:3",
-    "mclp_frontier_whole": "presupuesto n_ascendidos poblacion_cubierta:3 share_cubierta:8 ganancia_vs_base:3 t_medio_min:6 cota_superior_optimo:3"
-    " garantia_voraz_pct_del_optimo:8 brecha_maxima_vs_cota:3",
     "quota": "stratum pop size quota",
     "pps_sample": "demand_id design_weight:6 sampling_stratum inclusion_prob:8",
     "thin_districts": "demand_id n_points_district direct_pop_coverage:8 high_variance_district",
@@ -86,18 +80,18 @@ COLUMNS = {
     "top_groups": "province poblacion:3 rank",
     "filtered_view": "demand_id department area_type t_min:6",
     "facility_markers": "facility_id category lon:6 lat:6",
-    "facility_markers_whole": "facility_id category lon:6 lat:6",
     "elevations": "demand_id altitude_m:3",
     "missing_elevations": "point_key",
     "ways_in_scope": "way_id fclass",
-    "ways_in_scope_whole": "way_id fclass",
     "graph_od": "demand_id facility_id minutes:4 imputed profile",
     "text_names": "doc_id norm titled twice_encoded lossy",
-    "text_names_whole": "doc_id norm titled twice_encoded lossy",
     "padded_ids": "p_partkey ubigeo code district label",
     "coordinates": "demand_id lon:6 lat:6 missing swapped outside",
     "coordinate_columns": "lat_column lon_column as_labeled:8 as_swapped:8",
     "facility_audit": "check dataset n_affected n_total share_affected",
+    "places_audit": "check dataset n_affected n_total share_affected",
+    "quality_table": "check dataset n_affected n_total share_affected",
+    "register_counters": "facilities_rows_raw places_rows_raw places_population_unlocatable places_valid places_population_total",
     "facility_counters": "facilities_in_scope facilities_resolutive_by_category facilities_resolutive resolutive_not_operational"
     " resolutive_without_coordinates resolutive_recovered upgrade_candidates",
     "point_in_district": "demand_id district_polygon_available point_outside_declared_district",
@@ -107,6 +101,12 @@ COLUMNS = {
     "road_times": "target node seconds:4",
     "road_times_relaxed": "target node seconds:4",
     "snapped": "demand_id node snap_m:4",
+    "csv_register": "clave nombre",
+    "header_register": "ubigeo habitantes",
+    "output_ids": "ubigeo n",
+    "geojson_ways": "way_id fclass n lon:6 lat:6",
+    "geojson_polygons": "ubigeo department district area_sqkm:3 n x:6 y:6",
+    "od_sink": "profile demand_id facility_id minutes:2 km:2 imputed",
     "scope_box": "south:6 west:6 north:6 east:6",
     "line_codec": "way_id line n_points",
     "request_key": "key",
@@ -142,13 +142,21 @@ def walk_table(spark: SparkSession, d: str) -> DataFrame:
     return road_table(spark, d).withColumn("minutes", F.col("minutes") * turn)
 
 
+def _pair_key(spark: SparkSession, d: str, what: str, kind: str) -> str:
+    """Names what an aggregate over all pairs depends on: the points and facilities, their snaps and the rule of the road."""
+    facilities = star.facilities(spark, d).where(kind).select("facility_id", "lon", "lat")
+    return f"{what}-" + od.table_key(f"star|{what}|{kind}", star.demand(spark, d).select("demand_id", "lon", "lat", "snap_m"), facilities)
+
+
 def access(spark: SparkSession, d: str) -> DataFrame:
-    """The access table, written once: every metric reads it more than once, the pairs behind it are made once."""
-    return cut(metrics.access_table(demand(spark, d), road_table(spark, d)))
+    """The access table, written once: every metric reads it more than once, the pairs behind it are made once a session."""
+    near, _ = kept(spark, _pair_key(spark, d, "nearest", "is_resolutive"), lambda: od.nearest(road_table(spark, d)))
+    return cut(metrics.with_access(demand(spark, d), near))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return od.top_k(road_table(spark, d, "is_upgrade_candidate"), DEFAULT.k_candidates)
+    build = lambda: od.top_k(road_table(spark, d, "is_upgrade_candidate"), DEFAULT.k_candidates)
+    return kept(spark, _pair_key(spark, d, f"top{DEFAULT.k_candidates}", "is_upgrade_candidate"), build)[0]
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
@@ -229,35 +237,31 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return validation.clean_facilities(register(spark, d), star.districts(spark, d))
 
 
+#: The places' coordinate columns by what they hold.
+LAT, LON = "Longitud (coord Y)", "Latitud (coord X)"
+
+
 def places(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as a register of populated places, its coordinate columns with each other's label."""
+    """Customers as a register of populated places with faults, its coordinate columns with each other's label."""
     k = F.col("c_custkey")
+    fixed = lambda c: F.format_string("%.6f", c)
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
     p = star.demand(spark, d).select(F.col("demand_id").alias("k"), "lon", "lat")
     rows = spark.read.parquet(f"{d}/customer.parquet").join(p, F.col("c_custkey") == F.col("k"))
     return rows.select(
-        k.alias("ordinal"), (k + 101010000).cast("string").alias("UBIGEO"), pick("Tacna", "CUSCO", "San  Martín").alias("DEPARTAMENTO"), F.lit("p").alias("PROVINCIA"),
+        k.alias("ordinal"), (k + 101010000).cast("string").alias("UBIGEO"), F.when(k % 31 == 0, "Nowhere").otherwise(pick("Tacna", "CUSCO", "San  Martín")).alias("DEPARTAMENTO"), F.lit("p").alias("PROVINCIA"),
         F.lit("d").alias("DISTRITO"), F.col("c_name").alias("CCPP"), pick("0", "1", "0", "0").alias("CAPITAL"), F.lit("3").alias("Viviendas"),
         F.when(k % 17 == 0, "0").otherwise((k * 37 % 5000).cast("string")).alias("Habitantes"), pick("Urbano", "RURAL", None).alias("CLASIFICACION INEI"),
-        F.format_string("%.6f", "lon").alias("Latitud (coord X)"), F.format_string("%.6f", "lat").alias("Longitud (coord Y)"),
-    )
-
-
-def _text_names(spark: SparkSession, d: str, x) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet")
-    return rows.select(
-        "doc_id", text.norm_name(x).alias("norm"), text.title(x).alias("titled"), text.looks_twice_encoded(F.col("text")).alias("twice_encoded"),
-        text.looks_lossy(F.col("text")).alias("lossy"),
+        F.when(k % 19 == 0, "").when(k % 23 == 0, fixed("lat")).when(k % 29 == 0, "55,5").otherwise(fixed("lon")).alias("Latitud (coord X)"),
+        F.when(k % 23 == 0, fixed("lon")).otherwise(fixed("lat")).alias("Longitud (coord Y)"),
     )
 
 
 def text_names(spark: SparkSession, d: str) -> DataFrame:
-    """What the SQL compares: norm and titled of the first 60 characters; :func:`text_names_whole` has the whole text's."""
-    return _text_names(spark, d, F.substring(F.col("text"), 1, 60))
-
-
-def text_names_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _text_names(spark, d, F.col("text"))
+    x = F.col("text")
+    return spark.read.parquet(f"{d}/documents.parquet").select(
+        "doc_id", text.norm_name(x).alias("norm"), text.title(x).alias("titled"), text.looks_twice_encoded(x).alias("twice_encoded"), text.looks_lossy(x).alias("lossy")
+    )
 
 
 def padded_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -276,23 +280,99 @@ def coordinates(spark: SparkSession, d: str) -> DataFrame:
     return star.demand(spark, d).select("demand_id", geo.fixed_coordinates(lon, lat).alias("c")).select("demand_id", "c.*")
 
 
+def sample(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn sample with its thin districts."""
+    u = universe(spark, d)
+    return sampling.thin_districts(sampling.sample_demand(u, SAMPLE), u, THIN)
+
+
+def places_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The thirteen checks beside those of the facilities."""
+    rows = validation.scope_audit(register(spark, d), star.districts(spark, d)).unionByName(validation.places_audit(places(spark, d), star.districts(spark, d), LAT, LON))
+    return rows.unionByName(validation.sample_audit(sample(spark, d), universe(spark, d)))
+
+
+def audit(spark: SparkSession, d: str) -> DataFrame:
+    return validation.facility_audit(register(spark, d), cleaned(spark, d)).unionByName(places_audit(spark, d))
+
+
+def _written(spark: SparkSession) -> str:
+    """A fresh folder for a source that a query writes and reads back."""
+    return scratch(spark, "source")
+
+
+def csv_register(spark: SparkSession, d: str) -> DataFrame:
+    """The nations through a delimited file in Latin-1."""
+    path = _written(spark)
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("CLAVE"), F.concat("n_name", F.lit(" Ñandú; \"x\"")).alias("NOMBRE"))
+    rows.coalesce(1).write.csv(path, sep=";", header=True, encoding="ISO-8859-1", escape='"')
+    return files.read_csv(spark, path).select(F.col("CLAVE").alias("clave"), F.col("NOMBRE").alias("nombre"))
+
+
+def header_register(spark: SparkSession, d: str) -> DataFrame:
+    """The nations as a sheet whose header is its third row."""
+    head = spark.createDataFrame([(0, "Título", None, None), (1, None, None, None), (2, "UBIGEO", "  Habitantes\ntotál", None)], "ordinal long, c0 string, c1 string, c2 string")
+    k = F.col("n_nationkey")
+    rows = spark.read.parquet(f"{d}/nation.parquet").select((k + 10).cast("long").alias("ordinal"), F.lpad(k.cast("string"), 6, "0").alias("c0"), (k * 7).cast("string").alias("c1"), F.lit("x").alias("c2"))
+    found = files.with_header(head.unionByName(rows), "ordinal")
+    return found.select(F.col("UBIGEO").alias("ubigeo"), F.col("Habitantes total").alias("habitantes"))
+
+
+def output_ids(spark: SparkSession, d: str) -> DataFrame:
+    """District codes that a table lost the zeros of, restored."""
+    path = _written(spark)
+    files.write_table(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("ubigeo"), (F.col("n_nationkey") % 3).alias("n")), path, ["ubigeo"])
+    return files.read_output(spark, path)
+
+
+def geojson_ways(spark: SparkSession, d: str) -> DataFrame:
+    """The ways through lines of GeoJSON."""
+    path = _written(spark)
+    line = F.transform("coords", lambda p: F.array(p["lon"], p["lat"]))
+    feature = [F.struct("way_id", "fclass").alias("properties"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry")]
+    ways(spark, d).select(*feature).write.json(path)
+    last = F.element_at("coords", -1)
+    return files.read_ways(spark, path).select("way_id", "fclass", F.size("coords").alias("n"), last["lon"].alias("lon"), last["lat"].alias("lat"))
+
+
+def geojson_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """The districts through lines of GeoJSON."""
+    path = _written(spark)
+    files.write_polygons(star.districts(spark, d), path)
+    ring = F.element_at("rings", 1)
+    return files.read_polygons(spark, path).select("ubigeo", "department", "district", "area_sqkm", F.size(ring).alias("n"), F.element_at(ring, 3)["x"].alias("x"), F.element_at(ring, 3)["y"].alias("y"))
+
+
+def od_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The long OD as it comes back from its sink."""
+    path = _written(spark)
+    files.write_od(road_table(spark, d).select(F.lit("car").alias("profile"), "demand_id", "facility_id", "minutes", "km", "imputed"), path)
+    return spark.read.parquet(path)
+
+
 def snap_points(spark: SparkSession, d: str) -> DataFrame:
-    demand_snap = star.demand(spark, d).select(F.lit("demanda").alias("point_set"), "snap_m")
-    return demand_snap.unionByName(star.facilities(spark, d).where("is_resolutive").select(F.lit("establecimientos").alias("point_set"), "snap_m"))
+    demand_snap = star.demand(spark, d).select(F.lit("demanda").alias("point_set"), F.col("demand_id").alias("point_id"), "snap_m")
+    facilities = star.facilities(spark, d).where("is_resolutive")
+    return demand_snap.unionByName(facilities.select(F.lit("establecimientos").alias("point_set"), F.col("facility_id").alias("point_id"), "snap_m"))
 
 
-def sequence(s, d, conf=PLAN):
+def sequence(s, d, conf=DEFAULT):
     return models.named(models.mclp(access(s, d), candidates(s, d), cut, conf)[1], star.facilities(s, d))
 
 
+def frontier(s, d, conf=DEFAULT):
+    return models.mclp(access(s, d), candidates(s, d), cut, conf)[0]
+
+
 def kpis(s, d):
     a = access(s, d)
     district = metrics.level_metrics(a, "district")
     roads = cut(road_table(s, d))
     return views.kpis(
         metrics.level_metrics(a, "national"), metrics.inequality(a), metrics.urban_rural(a), metrics.worst_districts(a, district),
-        od.straight_vs_network(roads, star.demand(s, d)), models.mclp(a, cut(candidates(s, d)), cut, WHOLE_PLAN)[0],
-        metrics.temporal(demand(s, d), roads, star.facilities(s, d)), validation.facility_counters(cleaned(s, d)),
+        od.straight_vs_network(roads, star.demand(s, d)), models.mclp(a, candidates(s, d), cut)[0],
+        metrics.temporal(demand(s, d), roads, star.facilities(s, d)),
+        validation.facility_counters(cleaned(s, d)).crossJoin(F.broadcast(validation.register_counters(register(s, d), places(s, d), LAT, LON))),  # one row each
     )
 
 
@@ -333,9 +413,7 @@ _PLANS = {
     "coverage_scenario": lambda s, d: models.coverage(access(s, d), candidates(s, d), chosen(s, d), 120.0),
     "scenario_times": lambda s, d: models.scenario_times(access(s, d), candidates(s, d), chosen(s, d)),
     "mclp_sequence": sequence,
-    "mclp_frontier": lambda s, d: models.mclp(access(s, d), cut(candidates(s, d)), cut, PLAN)[0],
-    "mclp_sequence_whole": lambda s, d: sequence(s, d, WHOLE_PLAN),
-    "mclp_frontier_whole": lambda s, d: models.mclp(access(s, d), cut(candidates(s, d)), cut, WHOLE_PLAN)[0],
+    "mclp_frontier": frontier,
     "quota": lambda s, d: sampling.quota(strata(s, d), 300),
     "pps_sample": lambda s, d: sampling.sample_demand(universe(s, d), SAMPLE),
     "thin_districts": demand,
@@ -349,27 +427,33 @@ _PLANS = {
     "kpis": kpis,
     "top_groups": lambda s, d: views.top_groups(access(s, d), "province"),
     "filtered_view": lambda s, d: views.filtered(access(s, d), departments=("ASIA", "EUROPE"), areas=("RURAL",), reliable_only=True),
-    "facility_markers": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3")), 20),
-    "facility_markers_whole": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3"))),
+    "facility_markers": lambda s, d: views.facility_markers(views.filtered_facilities(star.facilities(s, d), categories=("II-1", "I-3"))),
     "elevations": lambda s, d: validation.with_elevation(star.demand(s, d), elevations(s, d)),
     "missing_elevations": lambda s, d: validation.missing_elevations(star.demand(s, d), elevations(s, d)),
-    "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("facility_id % 3 = 1"))),
-    "ways_in_scope_whole": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("is_resolutive"))),
+    "ways_in_scope": lambda s, d: graph.ways_in_box(ways(s, d), graph.scope_box(star.facilities(s, d).where("is_resolutive"))),
     "graph_od": graph_od,
     "text_names": text_names,
-    "text_names_whole": text_names_whole,
     "padded_ids": padded_ids,
     "coordinates": coordinates,
     "coordinate_columns": lambda s, d: validation.coordinate_columns(places(s, d), "Latitud (coord X)", "Longitud (coord Y)"),
     "facility_audit": lambda s, d: validation.facility_audit(register(s, d), cleaned(s, d)),
+    "places_audit": places_audit,
+    "quality_table": lambda s, d: views.quality_table(audit(s, d)),
+    "register_counters": lambda s, d: validation.register_counters(register(s, d), places(s, d), LAT, LON),
     "facility_counters": lambda s, d: validation.facility_counters(cleaned(s, d)),
     "point_in_district": lambda s, d: validation.check_districts(star.demand(s, d), star.districts(s, d)),
-    "clean_places": lambda s, d: validation.clean_places(places(s, d), star.districts(s, d), "Longitud (coord Y)", "Latitud (coord X)"),
+    "clean_places": lambda s, d: validation.clean_places(places(s, d), star.districts(s, d), LAT, LON),
     "haversine_pairs": lambda s, d: od.straight_pairs(star.demand(s, d), star.facilities(s, d).where("is_resolutive")),
     "road_edges": edges,
     "road_times": lambda s, d: graph.shortest_times(edges(s, d), targets(s, d)),
     "road_times_relaxed": lambda s, d: graph.shortest_times(edges(s, d), targets(s, d), whole_graph_edges=0),
     "snapped": lambda s, d: graph.snap(star.demand(s, d), graph.node_points(edges(s, d)), "demand_id"),
+    "csv_register": csv_register,
+    "header_register": header_register,
+    "output_ids": output_ids,
+    "geojson_ways": geojson_ways,
+    "geojson_polygons": geojson_polygons,
+    "od_sink": od_sink,
     "scope_box": lambda s, d: graph.scope_box(star.demand(s, d), star.facilities(s, d).where("is_resolutive")),
     "line_codec": lambda s, d: ways(s, d).select("way_id", geo.encode_line(F.col("coords")).alias("line"), F.size(geo.decode_line(geo.encode_line(F.col("coords")))).alias("n_points")),
     "request_key": lambda s, d: od.request_key("graph", "car", star.demand(s, d), star.facilities(s, d).where("is_resolutive")),

@@ -59,6 +59,7 @@ class Settings:
         }
     )
     scope: str = "national"
+    testing: bool = False
     regions: tuple[str, ...] = ("PIURA", "HUANCAVELICA", "LORETO")
     dev: tuple[str, ...] = ("TUMBES",)
     coast: tuple[str, ...] = ("CALLAO", "ICA", "LAMBAYEQUE", "LA LIBERTAD", "LIMA", "TUMBES", "PIURA")
@@ -80,6 +81,11 @@ class Settings:
             return self.regions
         return self.dev if self.scope == "dev" else tuple(sorted({*self.coast, *self.highland, *self.jungle}))
 
+    def folder(self, base: str) -> str:
+        """Where a run writes: trial scopes and tests have folders of their own, so they never overwrite a study's."""
+        suffix = "_test" if self.testing else "_dev" if self.scope == "dev" else ""
+        return base.rstrip("/") + suffix
+
     def output_name(self, stem: str, ext: str = "parquet") -> str:
         return f"{stem}_{self.scope}.{ext}"
 

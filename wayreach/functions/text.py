@@ -64,7 +64,7 @@ def title(x: Column) -> Column:
 
 
 def facility_label(name: Column, category: Column, district: Column, department: Column, code: Column) -> Column:
-    """One line a facility, unique by its code; what is missing reads "sin dato"."""
+    """One line a facility, unique by its code; what is missing reads "sin dato" (fixed values: this and the dot)."""
     said = lambda x: F.coalesce(x.cast("string"), F.lit("sin dato"))
     dot = F.lit("  ·  ")
     return F.concat(
@@ -73,10 +73,10 @@ def facility_label(name: Column, category: Column, district: Column, department:
 
 
 def looks_twice_encoded(x: Column) -> Column:
-    """Whether a text shows signs of UTF-8 read as Latin-1."""
+    """Whether a text shows signs of UTF-8 read as Latin-1 (fixed value: the pattern)."""
     return F.coalesce(x.rlike("Ã.|Â.|ï¿½|�"), F.lit(False))
 
 
 def looks_lossy(x: Column) -> Column:
-    """Whether a question mark stands where a letter was lost."""
+    """Whether a question mark stands where a letter was lost (fixed value: the pattern)."""
     return F.coalesce(x.rlike(r"[A-Za-z]\?[A-Za-z]|^\?[A-Za-z]"), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..conf import DEFAULT, Settings
 from ..functions import stats as S
 from .od import small_side
 
+#: Pairs of a greedy cover that the driver searches itself, some 50 MB.
+LOCAL_POOL = 2_000_000
 PLACE = ("ubigeo", "department", "province", "district", "area_type", "natural_region", "design_weight", "t_min")
 
 
@@ -105,13 +108,17 @@ def cover_pool(access: DataFrame, candidates: DataFrame, conf: Settings = DEFAUL
     return near.join(open_points, "demand_id")
 
 
-def greedy_cover(pool: DataFrame, budget: int, write) -> list[tuple]:
+def greedy_cover(pool: DataFrame, budget: int, write, local_rows: int = LOCAL_POOL) -> list[tuple]:
     """(facility_id, gain) in order of choice; each the largest gain left, ties by least facility_id, until nothing is gained.
 
-    Each step is one distributed aggregate that returns one row; what the choice
+    A pool of at most ``local_rows`` pairs is searched by the driver.  Beyond that
+    each step is one distributed aggregate that returns one row; what the choice
     covers leaves the pool by an anti-join.  ``write(df)`` cuts the pool's lineage.
     """
-    chosen, left = [], write(pool)
+    left = write(pool)
+    if left.limit(local_rows + 1).count() <= local_rows:
+        return _greedy_here(left.select("demand_id", "facility_id", "design_weight").toPandas(), budget)
+    chosen = []
     for step in range(budget):
         best = left.groupBy("facility_id").agg(F.sum("design_weight").alias("gain")).where("gain > 0")
         top = best.orderBy(F.col("gain").desc(), "facility_id").first()
@@ -125,14 +132,35 @@ def greedy_cover(pool: DataFrame, budget: int, write) -> list[tuple]:
     return chosen
 
 
+def _greedy_here(pool, budget: int) -> list[tuple]:
+    pool = pool.sort_values(["facility_id", "demand_id"])
+    who, _ = pool["demand_id"].factorize()
+    place, names = pool["facility_id"].factorize()
+    weight, chosen = pool["design_weight"].to_numpy(float), []
+    while len(who) and len(chosen) < budget:
+        gain = np.bincount(place, weight, len(names))
+        top = int(np.argmax(gain))
+        if gain[top] <= 0:
+            break
+        chosen.append((names[top], float(gain[top])))
+        rest = ~np.isin(who, who[place == top])
+        who, place, weight = who[rest], place[rest], weight[rest]
+    return chosen
+
+
 def mclp(access: DataFrame, candidates: DataFrame, write, conf: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(frontier by budget, sequence of choices) of greedy maximal coverage."""
+    """(frontier by budget, sequence of choices) of greedy maximal coverage.
+
+    All budgets come from one pass: a point's least minutes among the first choices
+    of each budget are conditional minima over the order of choice.
+    """
     spark = access.sparkSession
     pool = write(cover_pool(access, candidates, conf))
-    chosen = greedy_cover(pool, max(conf.budgets), write)
+    budgets = sorted(conf.budgets)
+    chosen = greedy_cover(pool, budgets[-1], write)
     kind = dict(pool.dtypes)["facility_id"]
     steps = spark.createDataFrame(
-        [(i + 1, f, float(g)) for i, (f, g) in enumerate(chosen)], f"orden int, facility_id {kind}, poblacion_marginal double"
+        [(i + 1, f if kind == "string" else int(f), float(g)) for i, (f, g) in enumerate(chosen)], f"orden int, facility_id {kind}, poblacion_marginal double"
     )
     w = F.col("design_weight")
     base = access.agg(F.sum(F.when(F.col("t_min") <= conf.cover_minutes, w).otherwise(0.0)).alias("base"), F.sum(w).alias("total"))
@@ -140,25 +168,30 @@ def mclp(access: DataFrame, candidates: DataFrame, write, conf: Settings = DEFAU
     sequence = steps.crossJoin(F.broadcast(base)).withColumn(
         "poblacion_cubierta_acumulada", F.col("base") + F.sum("poblacion_marginal").over(upto)
     ).drop("base", "total")
-    alone = pool.groupBy("facility_id").agg(F.sum("design_weight").alias("g")).orderBy(F.col("g").desc(), "facility_id").limit(max(conf.budgets))
-    alone = alone.withColumn("r", F.row_number().over(Window.orderBy(F.col("g").desc(), "facility_id")))
-    parts = []
-    for b in sorted(conf.budgets):
-        picked = steps.where(F.col("orden") <= b)
-        bound = alone.where(F.col("r") <= b).agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("bound"))
-        row = coverage(access, candidates, picked, conf.cover_minutes).crossJoin(F.broadcast(base)).crossJoin(F.broadcast(bound))
-        top = F.least(F.col("base") + F.col("bound"), F.col("total"))
-        parts.append(
-            row.select(
-                F.lit(b).alias("presupuesto"), F.col("n_seleccionados").alias("n_ascendidos"), "poblacion_cubierta", "share_cubierta",
-                (F.col("poblacion_cubierta") - F.col("base")).alias("ganancia_vs_base"), "t_medio_min", top.alias("cota_superior_optimo"),
-                F.lit(100 * (1 - 1 / math.e)).alias("garantia_voraz_pct_del_optimo"),
-                F.greatest(F.lit(0.0), top - F.col("poblacion_cubierta")).alias("brecha_maxima_vs_cota"),
-            )
-        )
-    frontier = parts[0]
-    for p in parts[1:]:
-        frontier = frontier.unionByName(p)
+    # The largest gains alone, at most as many as the largest budget.
+    alone = pool.groupBy("facility_id").agg(F.sum("design_weight").alias("g")).orderBy(F.col("g").desc(), "facility_id").limit(budgets[-1]).collect()
+    near = candidates.join(F.broadcast(steps.select("facility_id", "orden")), "facility_id")
+    near = near.groupBy("demand_id").agg(*[F.min(F.when(F.col("orden") <= b, F.col("minutes"))).alias(f"m{b}") for b in budgets])
+    rows = access.select("demand_id", "design_weight", "t_min").join(near, "demand_id", "left")
+    rows = rows.select("design_weight", "t_min", *[F.least("t_min", f"m{b}").alias(f"t{b}") for b in budgets])
+    covered = lambda t: F.sum(F.when(t <= conf.cover_minutes, w).otherwise(0.0))
+    one = rows.agg(
+        F.sum(w).alias("total"), covered(F.col("t_min")).alias("base"),
+        *[covered(F.col(f"t{b}")).alias(f"c{b}") for b in budgets], *[S.weighted_mean(F.col(f"t{b}"), w).alias(f"a{b}") for b in budgets],
+    )
+    bound = {b: float(sum(r.g for r in alone[:b])) for b in budgets}
+    made = F.array(
+        *[F.struct(F.lit(b).alias("presupuesto"), F.lit(min(b, len(chosen))).cast("long").alias("n_ascendidos"), F.col(f"c{b}").alias("poblacion_cubierta"),
+                   F.col(f"a{b}").alias("t_medio_min"), F.lit(bound[b]).alias("bound")) for b in budgets]
+    )
+    frontier = one.select("total", "base", F.explode(made).alias("r")).select("total", "base", "r.*")
+    top = F.least(F.col("base") + F.col("bound"), F.col("total"))
+    frontier = frontier.select(
+        "presupuesto", "n_ascendidos", "poblacion_cubierta", F.try_divide("poblacion_cubierta", "total").alias("share_cubierta"),
+        (F.col("poblacion_cubierta") - F.col("base")).alias("ganancia_vs_base"), "t_medio_min", top.alias("cota_superior_optimo"),
+        F.lit(100 * (1 - 1 / math.e)).alias("garantia_voraz_pct_del_optimo"),
+        F.greatest(F.lit(0.0), top - F.col("poblacion_cubierta")).alias("brecha_maxima_vs_cota"),
+    )
     return frontier, sequence
 
 

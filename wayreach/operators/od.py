@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, Settings
+from ..functions import stats as S
 from ..functions.geo import haversine_km
+from ..plans.lineage import cut
 
 #: A side of a pair join goes to every executor only up to this size by the optimizer's estimate.
 BROADCAST_BYTES = 64 << 20
@@ -81,17 +85,27 @@ def imputation_report(od: DataFrame) -> DataFrame:
 
 
 def snap_report(points: DataFrame, profile: str, conf: Settings = DEFAULT) -> DataFrame:
-    """Per point_set of (point_set, snap_m): count, unknown, mean, median, 95th percentile, maximum, over the limits."""
-    return points.groupBy(F.lit(profile).alias("profile"), F.col("point_set").alias("conjunto")).agg(
+    """Per point_set of (point_set, point_id, snap_m): count, unknown, mean, median, 95th percentile, maximum, over the limits."""
+    plain = points.groupBy(F.col("point_set").alias("conjunto")).agg(
+        F.lit(profile).alias("profile"),
         F.count("*").alias("n_puntos"),
         F.count_if(F.col("snap_m").isNull()).alias("n_snap_desconocido"),
         F.avg("snap_m").alias("snap_medio_m"),
-        F.percentile("snap_m", 0.5).alias("snap_mediana_m"),
-        F.percentile("snap_m", 0.95).alias("snap_p95_m"),
         F.max("snap_m").alias("snap_max_m"),
         F.count_if(F.col("snap_m") > conf.snap_limit_m).alias("n_sobre_limite"),
         F.count_if(F.col("snap_m") > conf.no_road_access_m).alias("n_sin_acceso_vial"),
     )
+    order = S.percentiles(points.withColumnRenamed("point_set", "conjunto"), ["conjunto"], "snap_m", "point_id", {"snap_mediana_m": 0.5, "snap_p95_m": 0.95})
+    return plain.join(order, "conjunto", "left")
+
+
+def _figures(rows: DataFrame, values: dict, quantiles: dict) -> DataFrame:
+    """One row: exact percentiles by name, (value's name, q), of the named columns of ``rows``, ties by demand_id."""
+    long = F.array(*[F.struct(F.lit(n).alias("of"), c.cast("double").alias("x")) for n, c in values.items()])
+    long = rows.select("demand_id", F.explode(long).alias("r")).select("demand_id", "r.*")
+    levels = sorted({q for _, q in quantiles.values()})
+    found = S.percentiles(long, ["of"], "x", "demand_id", {f"q{i}": q for i, q in enumerate(levels)})
+    return found.agg(*[F.max(F.when(F.col("of") == v, F.col(f"q{levels.index(q)}"))).alias(n) for n, (v, q) in quantiles.items()])
 
 
 def straight_vs_network(od: DataFrame, demand: DataFrame, conf: Settings = DEFAULT) -> DataFrame:
@@ -113,20 +127,20 @@ def straight_vs_network(od: DataFrame, demand: DataFrame, conf: Settings = DEFAU
     values = {
         "n_origenes": F.count_if(valid).cast("double"),
         "velocidad_naif_supuesta_kmh": F.max(F.lit(conf.naive_speed_kmh)),
-        "mediana_min_red": F.percentile(F.when(valid, F.col("t_net")), 0.5),
-        "mediana_min_linea_recta": F.percentile(F.when(valid, F.col("t_line")), 0.5),
-        "factor_desvio_tiempo_mediano": F.percentile(detour, 0.5),
-        "factor_desvio_tiempo_p90": F.percentile(detour, 0.9),
-        "indice_desvio_distancia_mediano": F.percentile(index, 0.5),
-        "indice_desvio_distancia_p90": F.percentile(index, 0.9),
         "n_con_distancia_de_red": F.count_if(far).cast("double"),
         "share_cambia_establecimiento_mas_cercano": F.avg(F.when(valid, (F.col("near_net") != F.col("near_line")).cast("double"))),
     }
     for b in conf.bands:
         moved = valid & (F.col("t_line") <= b) & (F.col("t_net") > b)
         values[f"poblacion_reclasificada_{b}min"] = F.sum(F.when(moved, F.col("design_weight")).otherwise(0.0))
-    one = per.agg(*[v.alias(k) for k, v in values.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metrica"), F.col(k).alias("valor")) for k in values])).alias("r")).select("r.*")
+    per = cut(per)  # one row an origin, read twice
+    quantiles = {
+        "mediana_min_red": ("net", 0.5), "mediana_min_linea_recta": ("line", 0.5), "factor_desvio_tiempo_mediano": ("detour", 0.5), "factor_desvio_tiempo_p90": ("detour", 0.9),
+        "indice_desvio_distancia_mediano": ("index", 0.5), "indice_desvio_distancia_p90": ("index", 0.9),
+    }
+    parts = {"net": F.when(valid, F.col("t_net")), "line": F.when(valid, F.col("t_line")), "detour": detour, "index": index}
+    one = per.agg(*[v.alias(k) for k, v in values.items()]).crossJoin(F.broadcast(_figures(per, parts, quantiles)))  # one row each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metrica"), F.col(k).alias("valor")) for k in (*values, *quantiles)])).alias("r")).select("r.*")
 
 
 def secondary_points(demand: DataFrame, conf: Settings = DEFAULT) -> DataFrame:
@@ -160,16 +174,15 @@ def cross_mode(base: DataFrame, other: DataFrame, profile: str) -> DataFrame:
     both = a.join(b, "demand_id")
     ratio = F.col("ta") / F.nullif(F.col("tb"), F.lit(0.0))
     differs = F.coalesce((F.col("na") != F.col("nb")) & F.col("ta").isNotNull() & F.col("tb").isNotNull(), F.lit(False))
-    return both.agg(
+    both = cut(both.select("demand_id", "tb", "ta", ratio.alias("ratio"), differs.alias("differs")))  # one row an origin, read twice
+    one = both.agg(
         F.lit(profile).alias("profile"),
         F.count("*").alias("n_origenes"),
-        F.percentile("tb", 0.5).alias("mediana_min_auto"),
-        F.percentile("ta", 0.5).alias(f"mediana_min_{profile}"),
-        F.percentile(ratio, 0.5).alias("ratio_mediano"),
-        F.percentile(ratio, 0.9).alias("ratio_p90"),
-        F.count_if(differs).alias("n_cambia_establecimiento_mas_cercano"),
-        F.avg(differs.cast("double")).alias("share_cambia"),
+        F.count_if("differs").alias("n_cambia_establecimiento_mas_cercano"),
+        F.avg(F.col("differs").cast("double")).alias("share_cambia"),
     )
+    quantiles = {"mediana_min_auto": ("tb", 0.5), f"mediana_min_{profile}": ("ta", 0.5), "ratio_mediano": ("ratio", 0.5), "ratio_p90": ("ratio", 0.9)}
+    return one.crossJoin(F.broadcast(_figures(both, {c: F.col(c) for c in ("tb", "ta", "ratio")}, quantiles)))  # one row each
 
 
 def straight_pairs(demand: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -178,6 +191,15 @@ def straight_pairs(demand: DataFrame, facilities: DataFrame) -> DataFrame:
     return all_pairs(demand, facilities).select("demand_id", "facility_id", km.alias("straight_km"))
 
 
+def table_key(tag: str, *tables: DataFrame) -> str:
+    """16 hex digits that name rows whatever their order: by all columns of the tables, and ``tag``."""
+    said = [tag]
+    for t in tables:
+        each = F.xxhash64(*[F.col(c) for c in t.columns])
+        said.append(t.agg(F.sum(each.cast("decimal(38,0)")), F.bit_xor(each), F.count("*")).first())
+    return hashlib.sha256("|".join(",".join(map(str, x)) if not isinstance(x, str) else x for x in said).encode()).hexdigest()[:16]
+
+
 def request_key(engine: str, profile: str, origins: DataFrame, destinations: DataFrame) -> DataFrame:
     """One row, key: 16 hex digits that name an OD request whatever the rows' order."""
     points = origins.select(F.lit("o").alias("s"), "lon", "lat").unionByName(destinations.select(F.lit("d").alias("s"), "lon", "lat"))

@@ -20,7 +20,9 @@ def quota(strata: DataFrame, slots, floor: int = 1) -> DataFrame:
     First ``floor`` places each in order of population while they last, then each
     further place to the largest pop / (2 q + 1), q the places held, up to the
     stratum's size.  All places of a stratum are ranked at once: the divisors fall,
-    so the best ``slots`` of them are what one-by-one awarding picks.
+    so the best ``slots`` of them are what one-by-one awarding picks.  The number of
+    places left is fetched first, so that each task keeps its best so many only.
+    Windows here see one row a stratum.
     """
     slots = F.lit(slots) if isinstance(slots, int) else slots
     by_people = Window.orderBy(F.col("pop").desc(), "stratum")
@@ -29,11 +31,10 @@ def quota(strata: DataFrame, slots, floor: int = 1) -> DataFrame:
     rows = rows.withColumn("__slots", slots.cast("long")).withColumn("__base", F.when(able & (F.col("__before") < F.col("__slots")), floor).otherwise(0).cast("long"))
     rows = rows.withColumn("__left", F.col("__slots") - F.sum("__base").over(Window.partitionBy()))
     most = F.least(F.col("size"), F.col("__base") + F.col("__left"))
-    more = rows.where((F.col("__left") > 0) & (F.col("pop") > 0) & (most > F.col("__base"))).select(
-        "stratum", "pop", "__left", F.explode(F.sequence(F.col("__base"), most - 1)).alias("__q")
-    )
-    more = more.withColumn("priority", F.col("pop") / (2 * F.col("__q") + 1))
-    best = more.withColumn("__r", F.row_number().over(Window.orderBy(F.col("priority").desc(), "stratum"))).where(F.col("__r") <= F.col("__left"))
+    left = rows.agg(F.max("__left")).first()[0] or 0
+    more = rows.where((F.col("pop") > 0) & (most > F.col("__base"))).select("stratum", "pop", F.explode(F.sequence(F.col("__base"), most - 1)).alias("__q"))
+    more = more.select("stratum", (F.col("pop") / (2 * F.col("__q") + 1)).alias("priority"))
+    best = more.orderBy(F.col("priority").desc(), "stratum").limit(max(0, left))
     won = best.groupBy("stratum").agg(F.count("*").alias("__won"))
     return rows.join(won, "stratum", "left").select("stratum", "pop", "size", (F.col("__base") + F.coalesce("__won", F.lit(0))).cast("long").alias("quota"))
 

@@ -109,13 +109,8 @@ def area_type(population, inei, conf: Settings = DEFAULT):
     return F.when(official.isin("URBANO", "RURAL"), official).when(population >= conf.urban_population, "URBANO").otherwise("RURAL")
 
 
-def clean_places(raw: DataFrame, districts: DataFrame, lat: str, lon: str, conf: Settings = DEFAULT) -> DataFrame:
-    """A register of populated places (all text, with ``ordinal``) as demand points.
-
-    Points without usable coordinates or population go.  demand_id numbers the rest
-    in the register's order; numbers come from counts of ordinal ranges and a
-    window within each, so no task sees all rows.
-    """
+def place_rows(raw: DataFrame, lat: str, lon: str, conf: Settings = DEFAULT) -> DataFrame:
+    """Every row of a register of populated places (all text, with ``ordinal``), typed, with in_scope, has_class and the flags of its coordinates."""
     whole = lambda c: F.coalesce(F.floor(text.number(F.trim(F.col(c)))).cast("long"), F.lit(0))
     rows = raw.select(
         "ordinal",
@@ -129,10 +124,28 @@ def clean_places(raw: DataFrame, districts: DataFrame, lat: str, lon: str, conf:
         whole("Viviendas").alias("dwellings"),
         (whole("CAPITAL") > 0).alias("is_capital"),
         area_type(whole("Habitantes"), F.col("CLASIFICACION INEI"), conf).alias("area_type"),
+        text.norm_name(F.col("CLASIFICACION INEI")).isin("URBANO", "RURAL").alias("has_class"),
         geo.fixed_coordinates(text.coordinate(F.col(lon)), text.coordinate(F.col(lat)), conf).alias("c"),
     )
-    rows = rows.where(F.col("department").isin(*conf.departments()) & ~F.col("c.missing") & ~F.col("c.outside"))
-    rows = rows.select("*", F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"), F.col("c.swapped").alias("coord_swapped")).drop("c")
+    scope = F.col("department").isin(*conf.departments())
+    return rows.select(
+        "*", F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"), F.col("c.swapped").alias("coord_swapped"), scope.alias("in_scope"),
+        F.col("c.missing").alias("coord_missing"), F.col("c.outside").alias("coord_outside_bbox"),
+    ).drop("c")
+
+
+def _located():
+    return F.col("in_scope") & ~F.col("coord_missing") & ~F.col("coord_outside_bbox")
+
+
+def clean_places(raw: DataFrame, districts: DataFrame, lat: str, lon: str, conf: Settings = DEFAULT) -> DataFrame:
+    """A register of populated places as demand points.
+
+    Points without usable coordinates or population go.  demand_id numbers the rest
+    in the register's order; numbers come from counts of ordinal ranges and a
+    window within each, so no task sees all rows.
+    """
+    rows = place_rows(raw, lat, lon, conf).where(_located()).drop("in_scope", "has_class", "coord_missing", "coord_outside_bbox")
     rows = check_districts(rows, districts, conf).where("population > 0").withColumn("natural_region", region_of(F.col("department"), conf))
     return numbered(rows, "ordinal", "demand_id", "CP", 6)
 
@@ -151,10 +164,18 @@ def numbered(rows: DataFrame, ordinal: str, name: str, prefix: str, width: int,
 
 
 def audit(rows: DataFrame, dataset: str, checks: dict) -> DataFrame:
-    """check, dataset, n_affected, n_total, share_affected of named conditions, from one pass over ``rows``."""
-    one = rows.agg(F.count("*").alias("__n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())])
-    made = F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"c{i}").alias("n_affected")) for i, k in enumerate(checks)])
-    out = one.select("__n", F.explode(made).alias("r")).select("r.check", F.lit(dataset).alias("dataset"), "r.n_affected", F.col("__n").alias("n_total"))
+    """check, dataset, n_affected, n_total, share_affected of named conditions, from one pass over ``rows``.
+
+    A check is a condition over all rows, or a pair of one and the condition that
+    says over which.
+    """
+    both = [c if isinstance(c, tuple) else (c, F.lit(True)) for c in checks.values()]
+    one = rows.agg(
+        *[F.count_if(F.coalesce(c & of, F.lit(False))).alias(f"c{i}") for i, (c, of) in enumerate(both)],
+        *[F.count_if(F.coalesce(of, F.lit(False))).alias(f"n{i}") for i, (_, of) in enumerate(both)],
+    )
+    made = F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"c{i}").alias("n_affected"), F.col(f"n{i}").alias("n_total")) for i, k in enumerate(checks)])
+    out = one.select(F.explode(made).alias("r")).select("r.check", F.lit(dataset).alias("dataset"), "r.n_affected", "r.n_total")
     return out.withColumn("share_affected", F.round(F.try_divide("n_affected", "n_total"), 6))
 
 
@@ -190,6 +211,63 @@ def facility_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return before.unionByName(after).unionByName(rate)
 
 
+def places_audit(raw: DataFrame, districts: DataFrame, lat: str, lon: str, conf: Settings = DEFAULT) -> DataFrame:
+    """The checks of the places' register, one row each; ``lat`` and ``lon`` as :func:`coordinate_columns` found them.
+
+    Each check counts over the rows that earlier steps left: all, those in scope,
+    those with a place on the map.
+    """
+    rows = check_districts(place_rows(raw, lat, lon, conf), districts, conf)
+    scope, here = F.col("in_scope"), _located()
+    # Headers are exchanged as a whole: where they are, every row is affected.
+    turned = F.lit("latitud" not in lat.lower())
+    return audit(
+        rows, "ccpp",
+        {
+            "orientation of the columns": turned,
+            "class by population": ~F.col("has_class"),
+            "outside the scope": ~scope,
+            "missing coordinates": (F.col("coord_missing"), scope),
+            "swapped coordinates": (F.col("coord_swapped"), scope),
+            "outside the box": (F.col("coord_outside_bbox"), scope),
+            "outside the declared district": (F.col("point_outside_declared_district"), here),
+            "district without polygon": (~F.col("district_polygon_available"), here),
+            "no population": (F.col("population") <= 0, here),
+        },
+    )
+
+
+def scope_audit(raw_facilities: DataFrame, districts: DataFrame, conf: Settings = DEFAULT) -> DataFrame:
+    """What the scope leaves of the districts' polygons, and takes from the facilities' register (first rows of a code)."""
+    inside = lambda c: text.norm_name(F.col(c)).isin(*conf.departments())
+    first = first_by_key(raw_facilities.select("COD_IPRESS", "ordinal", "DEPARTAMENTO"), ["COD_IPRESS"], "ordinal")
+    kept = audit(districts, "boundaries", {"polygons in scope": inside("department")})
+    return kept.unionByName(audit(first, "renipress", {"outside the scope": ~inside("DEPARTAMENTO")}))
+
+
+def sample_audit(sample: DataFrame, universe: DataFrame) -> DataFrame:
+    """The sample's share of the universe, and its districts of high variance (``sample`` as thin_districts gives it)."""
+    drawn = sample.agg(F.count("*").alias("n_affected")).crossJoin(F.broadcast(universe.agg(F.count("*").alias("n_total"))))  # one row each
+    drawn = drawn.select(
+        F.lit("sampled points").alias("check"), F.lit("demand_sample").alias("dataset"), "n_affected", "n_total",
+        F.round(F.try_divide("n_affected", "n_total"), 6).alias("share_affected"),
+    )
+    per = sample.groupBy("ubigeo").agg(F.bool_or("high_variance_district").alias("thin"))
+    return drawn.unionByName(audit(per, "demand_sample", {"districts of high variance": F.col("thin")}))
+
+
+def register_counters(raw_facilities: DataFrame, raw_places: DataFrame, lat: str, lon: str, conf: Settings = DEFAULT) -> DataFrame:
+    """One row: rows of both registers, population that has no place on the map, places and population that stay."""
+    located, people = _located(), F.col("population")
+    lost = F.sum(F.when(F.col("in_scope") & ~located, people).otherwise(0))
+    places = place_rows(raw_places, lat, lon, conf).agg(
+        F.count("*").alias("places_rows_raw"), F.coalesce(lost, F.lit(0)).alias("places_population_unlocatable"),
+        F.count_if(located & (people > 0)).alias("places_valid"),
+        F.coalesce(F.sum(F.when(located & (people > 0), people)), F.lit(0)).alias("places_population_total"),
+    )
+    return raw_facilities.agg(F.count("*").alias("facilities_rows_raw")).crossJoin(F.broadcast(places))  # one row each
+
+
 def facility_counters(clean: DataFrame) -> DataFrame:
     """One row of counts: facilities, resolutive ones, what status and coordinates cost, candidates."""
     r, o, h = F.col("is_resolutive_category"), F.col("is_operational"), F.col("has_coords")

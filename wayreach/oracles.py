@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 
-from .catalog import COLUMNS, PLAN, SAMPLE, THIN
+from .catalog import COLUMNS, SAMPLE, THIN
 from .conf import DEFAULT
+from .plans.metrics import READINGS
 
 _R = "6371.0088e0"
 
@@ -138,17 +139,16 @@ def _avg_rank(x: str, part: str = "") -> str:
     return f"rank() OVER ({p} ORDER BY {x}) + (count(*) OVER ({both}) - 1) / 2e0"
 
 
-def _pick(i: int) -> dict:
-    """The i-th greedy choice from what earlier choices leave."""
-    gone = " ".join(f"AND demand_id NOT IN (SELECT demand_id FROM pool WHERE facility_id = (SELECT facility_id FROM k{j}))" for j in range(1, i))
-    return {f"k{i}": f"SELECT {i} AS orden, facility_id, sum(design_weight) AS gain FROM pool WHERE TRUE {gone} GROUP BY facility_id ORDER BY gain DESC, facility_id LIMIT 1"}
-
-
+_MINUTES = f"{DEFAULT.cover_minutes:g}"
+#: Greedy choices by recursion: a step has the points that earlier ones cover.
 _POOL = {
-    "pool": f"SELECT demand_id, facility_id, design_weight FROM cand JOIN acc USING (demand_id) WHERE minutes <= {PLAN.cover_minutes:g} AND (t_min IS NULL OR t_min > {PLAN.cover_minutes:g})",
-    **_pick(1), **_pick(2), **_pick(3),
-    "seq": "SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3",
-    "base": f"SELECT {_upto(f'{PLAN.cover_minutes:g}')} AS covered, {_W} AS total FROM acc",
+    "pool": f"SELECT DISTINCT demand_id, facility_id, design_weight FROM cand JOIN acc USING (demand_id) WHERE minutes <= {_MINUTES} AND (t_min IS NULL OR t_min > {_MINUTES})",
+    "greedy (orden, facility_id, gain, seen)": f"""SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0e0, CAST([] AS BIGINT[])
+      UNION ALL SELECT orden, facility_id, gain, list_concat(seen, own) FROM (SELECT g.orden + 1 AS orden, p.facility_id, sum(design_weight) AS gain, list(p.demand_id) AS own, any_value(g.seen) AS seen
+        FROM greedy g JOIN pool p ON NOT list_contains(g.seen, p.demand_id) WHERE g.orden < {max(DEFAULT.budgets)} GROUP BY g.orden, p.facility_id)
+        QUALIFY row_number() OVER (ORDER BY gain DESC, facility_id) = 1""",
+    "seq": "SELECT orden, facility_id, gain FROM greedy WHERE orden > 0",
+    "base": f"SELECT {_upto(_MINUTES)} AS covered, {_W} AS total FROM acc",
 }
 
 
@@ -156,7 +156,7 @@ def _frontier(b: int) -> str:
     t = f"least(t_min, (SELECT min(minutes) FROM cand c WHERE c.demand_id = acc.demand_id AND c.facility_id IN (SELECT facility_id FROM seq WHERE orden <= {b})))"
     return f"""SELECT {b} AS presupuesto, (SELECT count(*) FROM seq WHERE orden <= {b}) AS n_ascendidos, cov AS poblacion_cubierta, cov / total AS share_cubierta, cov - covered AS ganancia_vs_base,
       mean AS t_medio_min, least(covered + bound, total) AS cota_superior_optimo, {100 * (1 - 1 / math.e)!r} AS garantia_voraz_pct_del_optimo, greatest(0e0, least(covered + bound, total) - cov) AS brecha_maxima_vs_cota
-      FROM base, (SELECT sum(CASE WHEN t <= {PLAN.cover_minutes:g} THEN design_weight ELSE 0 END) AS cov, sum(CASE WHEN t IS NOT NULL THEN t * design_weight END) / sum(CASE WHEN t IS NOT NULL THEN design_weight END) AS mean
+      FROM base, (SELECT sum(CASE WHEN t <= {_MINUTES} THEN design_weight ELSE 0 END) AS cov, sum(CASE WHEN t IS NOT NULL THEN t * design_weight END) / sum(CASE WHEN t IS NOT NULL THEN design_weight END) AS mean
         FROM (SELECT design_weight, {t} AS t FROM acc)),
       (SELECT coalesce(sum(g), 0) AS bound FROM (SELECT sum(design_weight) AS g FROM pool GROUP BY facility_id ORDER BY g DESC, facility_id LIMIT {b}))"""
 
@@ -192,11 +192,13 @@ _WAYS = {
     "edges": "SELECT least(x, y) AS a, greatest(x, y) AS b, min(km / CASE fclass WHEN 'primary' THEN 70e0 WHEN 'secondary' THEN 60e0 WHEN 'residential' THEN 25e0 ELSE 30e0 END * 3600e0) AS seconds FROM str WHERE x <> y GROUP BY 1, 2",
 }
 
-_PLACES = f"""SELECT c_custkey AS k, lpad(CAST(c_custkey + 101010000 AS VARCHAR), 10, '0') AS ccpp_code,
-  list_extract(['TACNA', 'CUSCO', 'SAN MARTIN'], CAST(c_custkey % 3 + 1 AS INTEGER)) AS department, upper(c_name) AS name, c_custkey % 4 = 1 AS is_capital,
+_LON0, _LAT0 = "round(-81.4e0 + (c_custkey * 7919 % 10007) / 10007e0 * 12.8e0, 6)", "round(-18.4e0 + (c_custkey * 104729 % 10009) / 10009e0 * 18.36e0, 6)"
+_PLACES = f"""SELECT c_custkey AS k, lpad(CAST(c_custkey + 101010000 AS VARCHAR), 10, '0') AS ccpp_code, c_custkey % 3 <> 2 AS has_class,
+  CASE WHEN c_custkey % 31 = 0 THEN 'NOWHERE' ELSE list_extract(['TACNA', 'CUSCO', 'SAN MARTIN'], CAST(c_custkey % 3 + 1 AS INTEGER)) END AS department, upper(c_name) AS name, c_custkey % 4 = 1 AS is_capital,
   CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE c_custkey * 37 % 5000 END AS population,
   CASE c_custkey % 3 WHEN 0 THEN 'URBANO' WHEN 1 THEN 'RURAL' ELSE CASE WHEN (CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE c_custkey * 37 % 5000 END) >= 2000 THEN 'URBANO' ELSE 'RURAL' END END AS area_type,
-  round(-81.4e0 + (c_custkey * 7919 % 10007) / 10007e0 * 12.8e0, 6) AS lon, round(-18.4e0 + (c_custkey * 104729 % 10009) / 10009e0 * 18.36e0, 6) AS lat FROM customer"""
+  CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN {_LAT0} WHEN c_custkey % 29 = 0 THEN 55.5e0 ELSE {_LON0} END AS lon,
+  CASE WHEN c_custkey % 23 = 0 THEN {_LON0} ELSE {_LAT0} END AS lat FROM customer"""
 
 
 _LON, _LAT = "(-81e0 + (s_suppkey * 6131 % 997) / 997e0 * 12e0)", "(-18e0 + (s_suppkey * 3571 % 991) / 991e0 * 17e0)"
@@ -282,8 +284,10 @@ def _queries() -> dict:
         "cut": "SELECT variable, quantile_cont(x, 0.2) AS lo, quantile_cont(x, 0.8) AS hi, count(*) AS n FROM lng GROUP BY variable HAVING count(*) >= 10",
         "rk": f"SELECT variable, {_avg_rank('x', 'variable')} AS ra, {_avg_rank('t', 'variable')} AS rb FROM lng",
     }
-    out["cross_analysis"] = cross, """SELECT variable, max(n) AS n_distritos, max(rho) AS spearman_rho, sum(CASE WHEN x <= lo THEN t * w END) / sum(CASE WHEN x <= lo THEN w END) AS t_medio_quintil_inferior,
-      sum(CASE WHEN x >= hi THEN t * w END) / sum(CASE WHEN x >= hi THEN w END) AS t_medio_quintil_superior, abs(max(rho)) >= 0.15 AS reportable
+    readings = " ".join(f"WHEN '{k}' THEN '" + v.replace("'", "''") + "'" for k, v in READINGS.items())
+    out["cross_analysis"] = cross, f"""SELECT variable, max(n) AS n_distritos, max(rho) AS spearman_rho, sum(CASE WHEN x <= lo THEN t * w END) / sum(CASE WHEN x <= lo THEN w END) AS t_medio_quintil_inferior,
+      sum(CASE WHEN x >= hi THEN t * w END) / sum(CASE WHEN x >= hi THEN w END) AS t_medio_quintil_superior, abs(max(rho)) >= 0.15 AS reportable,
+      'More goes with ' || CASE WHEN max(rho) > 0 THEN 'longer' ELSE 'shorter' END || ' times; correlation only: ' || CASE variable {readings} END AS interpretacion
       FROM lng JOIN cut USING (variable) JOIN (SELECT variable, corr(ra, rb) AS rho FROM rk GROUP BY variable) USING (variable) GROUP BY variable"""
     out["temporal"] = _year_rows(), "SELECT * FROM tmp"
     out["temporal_change"] = _year_rows(), """SELECT min(anio) AS anio_inicial, max(anio) AS anio_final, max_by(n_resolutivas, anio) - min_by(n_resolutivas, anio) AS resolutivas_nuevas,
@@ -335,7 +339,7 @@ def _queries() -> dict:
       {n_sel} AS n_seleccionados, CASE WHEN {n_sel} > 0 THEN (SELECT min(m) FROM (SELECT max(minutes) AS m FROM cand GROUP BY demand_id)) ELSE 'Infinity'::DOUBLE END AS exact_below_min FROM scen"""
     out["scenario_times"] = {}, "SELECT * FROM scen"
     out["mclp_sequence"] = _POOL, """SELECT orden, facility_id, name, category, gain AS poblacion_marginal, covered + sum(gain) OVER (ORDER BY orden) AS poblacion_cubierta_acumulada FROM seq JOIN fac USING (facility_id), base"""
-    out["mclp_frontier"] = _POOL, " UNION ALL ".join(_frontier(b) for b in PLAN.budgets)
+    out["mclp_frontier"] = _POOL, " UNION ALL ".join(_frontier(b) for b in DEFAULT.budgets)
     out["quota"] = _quota(_STRATA.format("dem0"), "300"), "SELECT * FROM quo"
     rest = f"(SELECT * FROM dem0 WHERE NOT ({_CERTAIN}))"
     slots = f"({SAMPLE.max_demand_points} - (SELECT count(*) FROM dem0 WHERE {_CERTAIN}))"
@@ -381,20 +385,36 @@ def _queries() -> dict:
     tol = f"{DEFAULT.polygon_tolerance_deg}e0"
     dx, dy = "greatest(x0 - lon, lon - x0 - 2.56e0, 0e0)", "greatest(y0 - lat, lat - y0 - 3.672e0, 0e0)"
     out["point_in_district"] = {}, f"SELECT demand_id, TRUE AS district_polygon_available, NOT sqrt({dx} * {dx} + {dy} * {dy}) <= {tol} AS point_outside_declared_district FROM dem0 JOIN dist USING (ubigeo)"
-    out["clean_places"] = {"pl": _PLACES}, f"""SELECT 'CP' || lpad(CAST(row_number() OVER (ORDER BY k) AS VARCHAR), 6, '0') AS demand_id, ccpp_code, substr(ccpp_code, 1, 6) AS ubigeo, name, population, is_capital, area_type,
-      CASE department WHEN 'SAN MARTIN' THEN 'selva' ELSE 'sierra' END AS natural_region FROM pl WHERE population > 0 AND ({_in('lon', 'lat')} OR {_in('lat', 'lon')})"""
+    pl = {
+        "pl": _PLACES,
+        "pl1": f"""SELECT *, lon IS NULL OR lat IS NULL OR lon = 0 OR lat = 0 AS missing, coalesce({_in('lon', 'lat')}, FALSE) AS direct, coalesce({_in('lat', 'lon')}, FALSE) AS other,
+          department <> 'NOWHERE' AS scope FROM pl""",
+        "plf": """SELECT *, NOT missing AND NOT direct AND other AS swapped, NOT missing AND NOT direct AND NOT other AS outside, scope AND NOT missing AND (direct OR other) AS located,
+          substr(ccpp_code, 1, 6) IN (SELECT ubigeo FROM dist) AS polygon FROM pl1""",
+    }
+    out["clean_places"] = pl, f"""SELECT 'CP' || lpad(CAST(row_number() OVER (ORDER BY k) AS VARCHAR), 6, '0') AS demand_id, ccpp_code, substr(ccpp_code, 1, 6) AS ubigeo, name, population, is_capital, area_type,
+      CASE department WHEN 'SAN MARTIN' THEN 'selva' ELSE 'sierra' END AS natural_region FROM plf WHERE population > 0 AND located"""
+    out["register_counters"] = pl, """SELECT (SELECT count(*) FROM supplier) AS facilities_rows_raw, count(*) AS places_rows_raw,
+      CAST(coalesce(sum(CASE WHEN scope AND NOT located THEN population END), 0) AS BIGINT) AS places_population_unlocatable, count(*) FILTER (WHERE located AND population > 0) AS places_valid,
+      CAST(coalesce(sum(CASE WHEN located THEN population END), 0) AS BIGINT) AS places_population_total FROM plf"""
     out["haversine_pairs"] = {}, "SELECT * FROM od"
     out["road_edges"] = _WAYS, "SELECT * FROM edges"
     out["scope_box"] = {}, """SELECT min(lat) - 0.15e0 AS south, min(lon) - 0.15e0 AS west, max(lat) + 0.15e0 AS north, max(lon) + 0.15e0 AS east
       FROM (SELECT lon, lat FROM dem0 UNION ALL SELECT lon, lat FROM fac WHERE category LIKE 'II%')"""
-    out["facility_markers"] = {}, "SELECT * FROM fac WHERE category IN ('II-1', 'I-3') ORDER BY facility_id LIMIT 20"
+    out["facility_markers"] = {}, "SELECT * FROM fac WHERE category IN ('II-1', 'I-3') ORDER BY facility_id LIMIT 3000"
     key = "printf('%.5f,%.5f', lat, lon)"
     height = {"ele": f"SELECT {key} AS pk, max(CAST(demand_id % 4000 AS DOUBLE)) AS m FROM dem0 WHERE demand_id % 5 <> 0 GROUP BY 1"}
     out["elevations"] = height, f"SELECT demand_id, m AS altitude_m FROM (SELECT demand_id, {key} AS pk FROM dem0) LEFT JOIN ele USING (pk)"
     out["missing_elevations"] = height, f"SELECT DISTINCT {key} AS point_key FROM dem0 WHERE {key} NOT IN (SELECT pk FROM ele)"
     every = {**_WAYS, "pts": _WAYS["pts"].replace(" WHERE fclass <> 'footway'", "")}
-    out["ways_in_scope"] = every, """SELECT DISTINCT way_id, fclass FROM pts, (SELECT min(lat) - 0.15e0 AS a, min(lon) - 0.15e0 AS b, max(lat) + 0.15e0 AS c, max(lon) + 0.15e0 AS d FROM fac WHERE facility_id % 3 = 1)
+    out["ways_in_scope"] = every, """SELECT DISTINCT way_id, fclass FROM pts, (SELECT min(lat) - 0.15e0 AS a, min(lon) - 0.15e0 AS b, max(lat) + 0.15e0 AS c, max(lon) + 0.15e0 AS d FROM fac WHERE category LIKE 'II%')
       WHERE lon BETWEEN b AND d AND lat BETWEEN a AND c"""
+    out["geojson_ways"] = every, "SELECT way_id, fclass, 4 AS n, lon, lat FROM pts WHERE pos = 3"
+    out["geojson_polygons"] = {}, "SELECT ubigeo, department, district, area_sqkm, 4 AS n, x0 + 2.56e0 AS x, y0 + 3.672e0 AS y FROM dist"
+    out["csv_register"] = {}, "SELECT CAST(n_nationkey AS VARCHAR) AS clave, n_name || ' Ñandú; \"x\"' AS nombre FROM nation"
+    out["header_register"] = {}, "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS ubigeo, CAST(n_nationkey * 7 AS VARCHAR) AS habitantes FROM nation"
+    out["output_ids"] = {}, "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS ubigeo, CAST(n_nationkey % 3 AS VARCHAR) AS n FROM nation"
+    out["od_sink"] = {}, "SELECT 'car' AS profile, demand_id, facility_id, CAST(minutes AS FLOAT) AS minutes, CAST(km AS FLOAT) AS km, imputed FROM od"
     out["line_codec"] = every, "SELECT way_id, string_agg(printf('%.6f,%.6f', lon, lat), ';' ORDER BY pos) AS line, 4 AS n_points FROM pts GROUP BY way_id"
     out["snapped"] = {
         **_WAYS, "nds": "SELECT node, CAST(split_part(node, ',', 1) AS DOUBLE) / 1e6 AS nlon, CAST(split_part(node, ',', 2) AS DOUBLE) / 1e6 AS nlat FROM (SELECT a AS node FROM edges UNION SELECT b FROM edges)",
@@ -412,6 +432,25 @@ def _queries() -> dict:
     line = "SELECT '{}' AS \"check\", 'renipress' AS dataset, count(*) FILTER (WHERE {}) AS n_affected, count(*) AS n_total FROM {}"
     rows = [line.format(c, t, "(SELECT *, min(k) OVER (PARTITION BY code) AS first FROM raw)") for c, t in before.items()] + [line.format(c, t, "rec") for c, t in after.items()]
     rows.append("SELECT 'recovered coordinates', 'renipress', count(*) FILTER (WHERE recovered), greatest(count(*) FILTER (WHERE missing OR outside), 1) FROM rec")
+    facility_rows = list(rows)
+    line2 = "SELECT '{}' AS \"check\", '{}' AS dataset, count(*) FILTER (WHERE {}) AS n_affected, count(*) AS n_total FROM {}"
+    places_rows = [
+        line2.format("polygons in scope", "boundaries", "FALSE", "dist"), line2.format("outside the scope", "renipress", "dep = 'NOWHERE'", "(SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY code ORDER BY k) = 1)"),
+        line2.format("orientation of the columns", "ccpp", "TRUE", "plf"), line2.format("class by population", "ccpp", "NOT has_class", "plf"), line2.format("outside the scope", "ccpp", "NOT scope", "plf"),
+        *[line2.format(n, "ccpp", c, "plf WHERE scope") for n, c in (("missing coordinates", "missing"), ("swapped coordinates", "swapped"), ("outside the box", "outside"))],
+        *[line2.format(n, "ccpp", c, "plf WHERE located") for n, c in (("outside the declared district", "polygon AND FALSE"), ("district without polygon", "NOT polygon"), ("no population", "population <= 0"))],
+        "SELECT 'sampled points', 'demand_sample', (SELECT count(*) FROM smp), (SELECT count(*) FROM dem0)",
+        line2.format("districts of high variance", "demand_sample", f"n < {THIN.min_points_per_district} AND share < {THIN.min_direct_coverage}e0", "thn"),
+    ]
+    drawn, body = out["pps_sample"]
+    places_ctes = {
+        **_REGISTER, **pl, **drawn, "smp": body,
+        "thn": """SELECT ubigeo, count(*) AS n, coalesce(sum(CASE WHEN sampling_stratum IN ('certeza', 'censo_completo') THEN population END), 0) / max(pop_all) AS share
+          FROM smp JOIN dem0 USING (demand_id) JOIN (SELECT ubigeo, CAST(sum(population) AS DOUBLE) AS pop_all FROM dem0 GROUP BY ubigeo) USING (ubigeo) GROUP BY ubigeo""",
+    }
+    share = "SELECT *, round(CASE WHEN n_total > 0 THEN n_affected / CAST(n_total AS DOUBLE) END, 6) AS share_affected FROM ({})"
+    out["places_audit"] = places_ctes, share.format(" UNION ALL ".join(places_rows))
+    out["quality_table"] = places_ctes, share.format(" UNION ALL ".join(facility_rows + places_rows)) + " WHERE n_affected > 0"
     out["facility_audit"] = _REGISTER, f"SELECT *, round(CASE WHEN n_total > 0 THEN n_affected / CAST(n_total AS DOUBLE) END, 6) AS share_affected FROM ({' UNION ALL '.join(rows)})"
     relax = {
         **_WAYS, "arc": "SELECT a, b, seconds FROM edges UNION ALL SELECT b, a, seconds FROM edges",
@@ -420,8 +459,21 @@ def _queries() -> dict:
           UNION SELECT * FROM (SELECT s.target, arc.b AS node, min(s.seconds + arc.seconds) AS seconds FROM sp s JOIN arc ON s.node = arc.a GROUP BY s.target, arc.b) n
           WHERE NOT EXISTS (SELECT 1 FROM recurring.sp o WHERE o.target = n.target AND o.node = n.node AND o.seconds <= n.seconds)""",
     }
+    snaps = {
+        **out["snapped"][0], "osn": out["snapped"][1],
+        "fsn": """SELECT facility_id, node AS target FROM (SELECT facility_id, node, row_number() OVER (PARTITION BY facility_id ORDER BY (lon - nlon) ** 2 + (lat - nlat) ** 2, node) AS r
+          FROM fac CROSS JOIN nds WHERE category LIKE 'II%') WHERE r = 1""",
+        "src": "SELECT DISTINCT target FROM fsn",
+    }
+    reach = {**snaps, **{k: v for k, v in relax.items() if k not in snaps}}
+    out["graph_od"] = {
+        **reach, "knw": "SELECT demand_id, facility_id, seconds / 60 AS route, snap_m FROM sp JOIN osn USING (node) JOIN fsn USING (target)",
+        "ksn": "SELECT demand_id, min(snap_m) AS s FROM knw GROUP BY demand_id",
+    }, f"""SELECT d.demand_id, f.facility_id, 'car' AS profile, k.route IS NULL AND NOT coalesce(s > 20000, FALSE) AS imputed,
+      CASE WHEN s > 20000 THEN NULL WHEN k.route IS NULL THEN {_km('d.lon', 'd.lat', 'f.lon', 'f.lat')} * 1.35e0 / 25e0 * 60e0 ELSE k.route END AS minutes
+      FROM dem0 d CROSS JOIN fac f LEFT JOIN knw k ON k.demand_id = d.demand_id AND k.facility_id = f.facility_id LEFT JOIN ksn ON ksn.demand_id = d.demand_id WHERE f.category LIKE 'II%'"""
     out["road_times"] = out["road_times_relaxed"] = relax, "SELECT * FROM sp"
-    x = "substr(text, 1, 60)"
+    x = "text"
     pieces = f"regexp_extract_all(lower({x}), '[\\p{{L}}]+|[^\\p{{L}}]+')"
     out["text_names"] = {}, f"""SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents({x}), 'ß', 'SS')), '\\s+', ' ', 'g')) AS norm,
       array_to_string(list_transform({pieces}, lambda p: CASE WHEN p[1] = 'ß' THEN 'Ss' ELSE upper(p[1]) END || p[2:]), '') AS titled, regexp_matches(text, 'Ã.|Â.|ï¿½|�') AS twice_encoded, regexp_matches(text, '[A-Za-z]\\?[A-Za-z]|^\\?[A-Za-z]') AS lossy FROM documents"""
@@ -446,7 +498,7 @@ def _sql(name: str, ctes: dict, body: str) -> str:
     needed = _needed({k.split(" ")[0]: v for k, v in ctes.items()}, body)
     full = {k.split(" ")[0]: k for k in ctes}
     head = ",\n".join(f"{full.get(k, k)} AS ({v})" for k, v in needed.items())
-    if any("USING KEY" in k for k in ctes):
+    if any("(" in k for k in ctes):
         head = f"RECURSIVE {head}"
     columns = []
     for item in COLUMNS[name].split():
@@ -456,4 +508,40 @@ def _sql(name: str, ctes: dict, body: str) -> str:
     return (f"WITH {head}\n" if head else "") + f"SELECT {', '.join(columns)} FROM ({body}) result"
 
 
+def _kpis(sql: dict) -> str:
+    """The formatted figures from the other queries' results."""
+    thousands, one = "format('{{:,}}', CAST(round({}) AS BIGINT))".format, "printf('%.1f', {})".format
+    whole, title = "CAST(CAST({} AS BIGINT) AS VARCHAR)".format, "array_to_string(list_transform(regexp_extract_all(lower({}), '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda p: upper(p[1]) || p[2:]), '')".format
+    parts = {
+        "nat": "access_by_nation", "ine": "inequality", "con": "urban_rural", "wor": "worst_districts", "com": "straight_vs_network", "fro": "mclp_frontier",
+        "cha": "temporal_change", "cou": "facility_counters", "reg": "register_counters",
+    }
+    rows = [("nat", k, v) for k, v in {
+        "PoblacionTotal": thousands("poblacion"), "TiempoMedio": one("t_medio_min"), "TiempoMediano": one("t_mediano_min"), "TiempoPnoventa": one("t_p90_min"),
+        "ShareMas120": one("share_mas_120min * 100"), "PobMas120": thousands("pob_mas_120min"),
+        **{f"ShareHasta{b}": one(f"share_hasta_{b}min * 100") for b in DEFAULT.bands}, **{f"PobHasta{b}": thousands(f"pob_hasta_{b}min") for b in DEFAULT.bands},
+    }.items()]
+    rows += [("ine", k, f"printf('%.3f', {c})") for k, c in (("Gini", "gini_tiempo_acceso"), ("GiniUrbano", "gini_urbano"), ("GiniRural", "gini_rural"))]
+    top = "(SELECT * FROM wor ORDER BY pob_fuera_umbral DESC, ubigeo LIMIT 1)"
+    rows += [(top, "PeorDistrito", title("district")), (top, "PeorDistritoDep", title("department")), (top, "PeorDistritoPob", thousands("pob_fuera_umbral"))]
+    figure = "(SELECT valor FROM com WHERE metrica = '{}')".format
+    rows += [
+        ("(SELECT 1)", "IndiceDesvio", f"printf('%.2f', {figure('indice_desvio_distancia_mediano')})"), ("(SELECT 1)", "PobReclasificada", thousands(figure("poblacion_reclasificada_60min"))),
+        ("(SELECT 1)", "ShareCambiaCercano", one(figure("share_cambia_establecimiento_mas_cercano") + " * 100")),
+    ]
+    for f, end in (("min", ""), ("max", "Max")):
+        row = f"(SELECT * FROM fro WHERE presupuesto = (SELECT {f}(presupuesto) FROM fro))"
+        rows += [(row, f"MclpPresupuesto{end}", whole("presupuesto")), (row, f"MclpGanancia{end}", thousands("ganancia_vs_base"))]
+    rows += [
+        ("cha", "TemporalAnioIni", whole("anio_inicial")), ("cha", "TemporalAnioFin", whole("anio_final")), ("cha", "TemporalDelta", "printf('%+.1f', cambio_cobertura * 100)"),
+        ("cha", "TemporalNuevos", whole("resolutivas_nuevas")),
+    ]
+    rows += [(t, "Q" + "".join(x.capitalize() for x in c.split("_")), thousands(c)) for t, q in (("cou", "facility_counters"), ("reg", "register_counters")) for c in COLUMNS[q].split()]
+    said = " UNION ALL ".join(f"SELECT '{k}' AS kpi, {v} AS valor FROM {t}" for t, k, v in rows)
+    reached = "sum(t_medio_min * poblacion_con_ruta) / sum(CASE WHEN t_medio_min IS NOT NULL THEN poblacion_con_ruta END)"
+    said += f" UNION ALL SELECT 'TiempoMedio' || upper(area_type[1]) || lower(area_type[2:]), {one(reached)} FROM con GROUP BY area_type"
+    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({sql[q]})" for k, q in parts.items()) + f" SELECT kpi, valor FROM ({said}) x"
+
+
 ORACLES = {name: _sql(name, *parts) for name, parts in _queries().items()}
+ORACLES["kpis"] = _kpis(ORACLES)

@@ -22,10 +22,13 @@ LEVELS = {
 SPREAD = {"district": 1, "province": 8, "department": 16, "natural_region": 32, "national": 64}
 
 
+def with_access(demand: DataFrame, near: DataFrame) -> DataFrame:
+    """The demand points with t_min, nearest_facility, km_red and unreachable, from :func:`nearest` rows."""
+    return demand.join(near, "demand_id", "left").withColumn("unreachable", F.col("t_min").isNull())
+
+
 def access_table(demand: DataFrame, od: DataFrame) -> DataFrame:
-    """The demand points with t_min, nearest_facility, km_red and unreachable."""
-    joined = demand.join(nearest(od), "demand_id", "left")
-    return joined.withColumn("unreachable", F.col("t_min").isNull())
+    return with_access(demand, nearest(od))
 
 
 def _band_columns(conf: Settings) -> list:
@@ -218,9 +221,7 @@ def temporal(demand: DataFrame, od: DataFrame, facilities: DataFrame, conf: Sett
     dates = facilities.where("is_resolutive").select("facility_id", opened.alias("__year"))
     rows = od.join(small_side(dates), "facility_id")
     least = rows.groupBy("demand_id").agg(*[F.min(F.when(F.col("__year") <= y, F.col("minutes"))).alias(f"y{y}") for y in conf.years])
-    open_by = dates.join(small_side(od.select("facility_id").distinct()), "facility_id", "left_semi").agg(
-        *[F.count_if(F.col("__year") <= y).alias(f"n{y}") for y in conf.years]
-    )
+    open_by = dates.agg(*[F.count_if(F.col("__year") <= y).alias(f"n{y}") for y in conf.years])
     years = F.array(*[F.struct(F.lit(y).alias("anio"), F.col(f"y{y}").alias("t")) for y in conf.years])
     long = least.select("demand_id", F.explode(years).alias("p")).select("demand_id", "p.anio", "p.t").join(demand.select("demand_id", "design_weight"), "demand_id")
     w = F.col("design_weight")
