@@ -1,10 +1,11 @@
 """Weighted statistics by group.
 
 Rows count where value and weight are not null and the weight is over 0.  Order
-statistics need running sums in order of the value.  ``spread`` says how many value
-ranges a group is cut into first, at approximate quantiles: running sums then work
-within a range and start from the sums of the ranges before it, so a group of any
-size (the whole country) is no single task's work.  ``spread=1`` is for groups that
+statistics need running sums in order of the value.  Groups may be cut into value
+ranges first, at approximate quantiles: running sums then work within a range and
+start from the sums of the ranges before it, so a group of any size (the whole
+country) is no single task's work.  How many ranges goes by the size of the rows;
+``spread`` is the number where that is unknown, and ``spread=1`` is for groups that
 are known to be small (districts).
 """
 
@@ -14,14 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bytes of rows that a value range aims at, and the most ranges.
-RANGE_BYTES, MOST_RANGES = 64 << 20, 1024
+#: Bytes of rows, as files hold them, that a value range aims at, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1024
 
 
-def ranges(df: DataFrame, least: int) -> int:
-    """Value ranges to cut ``df`` into: ``least``, or more where the optimizer knows that its rows are many."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if size >= 1 << 60 else max(least, min(MOST_RANGES, size // RANGE_BYTES))
+def ranges(df: DataFrame, unknown: int) -> int:
+    """Value ranges to cut ``df`` into by its size; ``unknown`` where the optimizer has no good estimate (joins multiply)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size >= 1 << 60 or "Join" in str(plan.toString()):
+        return unknown
+    return min(MOST_RANGES, -(-size // RANGE_BYTES))
 
 
 def counted(value: Column, weight: Column) -> Column:

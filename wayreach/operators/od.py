@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,7 @@ def imputation_report(od: DataFrame) -> DataFrame:
 
 def snap_report(points: DataFrame, profile: str, conf: Settings = DEFAULT) -> DataFrame:
     """Per point_set of (point_set, point_id, snap_m): count, unknown, mean, median, 95th percentile, maximum, over the limits."""
+    points = cut(points)
     plain = points.groupBy(F.col("point_set").alias("conjunto")).agg(
         F.lit(profile).alias("profile"),
         F.count("*").alias("n_puntos"),
@@ -193,11 +195,10 @@ def straight_pairs(demand: DataFrame, facilities: DataFrame) -> DataFrame:
 
 def table_key(tag: str, *tables: DataFrame) -> str:
     """16 hex digits that name rows whatever their order: by all columns of the tables, and ``tag``."""
-    said = [tag]
-    for t in tables:
-        each = F.xxhash64(*[F.col(c) for c in t.columns])
-        said.append(t.agg(F.sum(each.cast("decimal(38,0)")), F.bit_xor(each), F.count("*")).first())
-    return hashlib.sha256("|".join(",".join(map(str, x)) if not isinstance(x, str) else x for x in said).encode()).hexdigest()[:16]
+    each = [t.select(F.lit(i).alias("t"), F.xxhash64(*[F.col(c) for c in t.columns]).alias("h")) for i, t in enumerate(tables)]
+    sums = reduce(DataFrame.unionByName, each).groupBy("t").agg(F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h"), F.count("*"))
+    said = sorted(",".join(map(str, r)) for r in sums.collect())  # one row a table
+    return hashlib.sha256("|".join([tag, *said]).encode()).hexdigest()[:16]
 
 
 def request_key(engine: str, profile: str, origins: DataFrame, destinations: DataFrame) -> DataFrame:

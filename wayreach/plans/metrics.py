@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, Settings
 from ..functions import stats as S
 from ..operators.od import nearest, small_side
+from .lineage import cut
 
 LEVELS = {
     "district": ["department", "province", "district", "ubigeo"],
@@ -18,7 +19,7 @@ LEVELS = {
     "natural_region": ["natural_region"],
     "national": [],
 }
-#: Value ranges that running sums are cut into, by level: coarse levels have large groups.
+#: Value ranges that running sums are cut into where the size of the rows is unknown: coarse levels have large groups.
 SPREAD = {"district": 1, "province": 8, "department": 16, "natural_region": 32, "national": 64}
 
 
@@ -224,6 +225,7 @@ def temporal(demand: DataFrame, od: DataFrame, facilities: DataFrame, conf: Sett
     open_by = dates.agg(*[F.count_if(F.col("__year") <= y).alias(f"n{y}") for y in conf.years])
     years = F.array(*[F.struct(F.lit(y).alias("anio"), F.col(f"y{y}").alias("t")) for y in conf.years])
     long = least.select("demand_id", F.explode(years).alias("p")).select("demand_id", "p.anio", "p.t").join(demand.select("demand_id", "design_weight"), "demand_id")
+    long = cut(long)  # one row a point and year
     w = F.col("design_weight")
     plain = long.groupBy("anio").agg(
         F.sum(w).alias("poblacion"),
