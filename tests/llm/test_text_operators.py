@@ -193,7 +193,7 @@ def test_simhash_against_all_pairs(docs, table):
     assert got == sorted(expected, key=lambda r: tuple((v is not None, v) for v in r))
 
 
-def test_gray_index_finds_every_near_pair(spark):
+def test_gray_index_finds_every_near_pair(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     fps = set(base.tolist())
@@ -205,9 +205,21 @@ def test_gray_index_finds_every_near_pair(spark):
     expected = components(len(fps), links)
     df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
     place = {simhash._signed(x): i for i, x in enumerate(fps)}
-    for crowded in (4096, 3):  # one segment a deal; two where it is crowded
+    for crowded in (4096, 3):  # one segment a deal; two and three where it is crowded
         got = [(place[r.a], place[r.b]) for r in simhash.fingerprint_links(df, crowded=crowded).collect()]
         assert components(len(fps), got) == expected
+    monkeypatch.setattr(simhash, "HELD_PAIRS", 50)
+    index = simhash.GrayIndex(np.sort(simhash.gray_rank(np.array(fps, np.uint64))), np.array([0]))
+    pairs = [(len(q), n) for n, (q, _) in enumerate(simhash._pairs(index.fp, np.zeros(len(fps), np.int64), index, 64))]
+    assert sum(n for n, _ in pairs) == len(fps) * (len(fps) - 1) // 2 and len(pairs) == len(fps)
+
+
+def test_finer_segments_share_out_the_bits_left():
+    for level in (1, 2):
+        kinds = simhash.finer_segments(4, level)
+        assert len(kinds) == 5**level
+        for held, masks in kinds.values():
+            assert sum(masks) == ((1 << 64) - 1) ^ held and all(m & held == 0 for m in masks)
 
 
 def ids_near_the_ends(spark):

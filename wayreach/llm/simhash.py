@@ -3,8 +3,8 @@
 Documents become 64-bit fingerprints; equal fingerprints collapse to one row
 before anything else.  Fingerprints that differ in at most ``distance`` bits agree
 on at least one of ``distance + 1`` bit segments, so each is dealt out under each
-of its segments, and under two segments where one alone holds too many.  Inside a
-deal, fingerprints are sorted by Gray rank; groups of neighbours become nodes that
+of its segments; where one alone holds too many, the bits left are cut into segments
+again, and once more where two hold too many.  Inside a deal, fingerprints are sorted by Gray rank; groups of neighbours become nodes that
 hold the bits their members share (less the bits their parents hold), and a search
 descends from the root, adds up the differing shared bits and leaves a whole group
 as soon as the sum passes ``distance``.  What leaves a task is a spanning forest of
@@ -22,8 +22,11 @@ from .common import documents, written
 from .components import connected_components, spanning_rows
 
 FANOUT = 8
-CROWDED = 4096
+#: Fingerprints of a deal beyond which it is dealt out by one more segment, and how often that is done.
+CROWDED, FINER = 4096, 2
 PIECE = 1 << 16
+#: Pairs that a search may hold at a time.
+HELD_PAIRS = 1 << 22
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -117,17 +120,36 @@ class GrayIndex:
 
 
 def _pairs(fp, deal_no, index, distance):
-    step = 2048
-    for at in range(0, len(fp), step):
-        q, x = index.search(fp[at : at + step], deal_no[at : at + step], distance)
+    """Linked pairs, from so many queries at a time as cannot find more than ``HELD_PAIRS``."""
+    size = np.cumsum(np.bincount(deal_no)[deal_no])
+    at = 0
+    while at < len(fp):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD_PAIRS, "right")))
+        q, x = index.search(fp[at:to], deal_no[at:to], distance)
         q = q + at
         yield q[q < x], x[q < x]
+        at = to
 
 
-def segments(distance: int) -> list[int]:
-    """Bit masks of ``distance + 1`` segments of the 64 bits."""
-    edge = [64 * i // (distance + 1) for i in range(distance + 2)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:])]
+def segments(distance: int, bits=range(64)) -> list[int]:
+    """Bit masks of ``distance + 1`` segments of the bits."""
+    bits = list(bits)
+    edge = [len(bits) * i // (distance + 1) for i in range(distance + 2)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(edge, edge[1:])]
+
+
+def finer_segments(distance: int, level: int) -> dict[int, tuple[int, list[int]]]:
+    """By kind of deal at a level: the bits that its fingerprints agree on, and the segments of the others.
+
+    A kind is its segments' numbers from 1, a digit each to the base of 64.
+    """
+    kinds = {0: (0, segments(distance))}
+    for _ in range(level):
+        kinds = {
+            kind * 64 + i + 1: (held | m, segments(distance, [b for b in range(64) if not (held | m) >> b & 1]))
+            for kind, (held, masks) in kinds.items() for i, m in enumerate(masks)
+        }
+    return kinds
 
 
 def _signed(x: int) -> int:
@@ -136,21 +158,19 @@ def _signed(x: int) -> int:
 
 def fingerprint_links(fps: DataFrame, distance: int = 4, crowded: int = CROWDED) -> DataFrame:
     """a, b: links that join all distinct ``fp`` within ``distance`` bits into their components."""
-    masks = segments(distance)
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("seg", "part"))
-    # At most 2^13 values a segment: this table has a fixed bound.
-    crowds = dealt.groupBy("seg", "part").count().where(F.col("count") > crowded).select("seg", "part", F.lit(True).alias("crowd"))
-    dealt = dealt.join(F.broadcast(crowds), ["seg", "part"], "left")
-    finer = []
-    for m in masks:
-        bits = [i for i in range(64) if not m >> i & 1]
-        edge = [len(bits) * i // (distance + 1) for i in range(distance + 2)]
-        finer.append([sum(1 << i for i in bits[a:b]) for a, b in zip(edge, edge[1:])])
-    table = F.array(*[F.array(*[F.lit(_signed(x)) for x in row]) for row in finer])
-    sub = F.when(F.col("crowd"), F.element_at(table, F.col("seg") + 1)).otherwise(F.array(F.lit(0).cast("long")))
-    dealt = dealt.select("fp", "seg", "part", F.posexplode(sub).alias("sub", "mask")).select(
-        "fp", (F.col("seg") * 8 + F.col("sub")).alias("kind"), F.col("part").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("part")
-    )
+    masks = F.array(*[F.lit(_signed(m)) for m in segments(distance)])
+    dealt = fps.select("fp", F.posexplode(masks).alias("i", "m")).select("fp", (F.col("i") + 1).alias("kind"), F.col("fp").bitwiseAND(F.col("m")).alias("part"))
+    for level in range(1, FINER + 1):
+        crowds = dealt.groupBy("kind", "part").count().where(F.col("count") > crowded).select("kind", "part", F.lit(True).alias("crowd"))
+        table = F.create_map(
+            *[x for kind, (_, finer) in finer_segments(distance, level).items() for x in (F.lit(kind), F.array(*[F.lit(_signed(m)) for m in finer]))]
+        )
+        # Deals of an earlier level that were not crowded are not now either.
+        sub = F.when(F.col("crowd"), F.element_at(table, F.col("kind"))).otherwise(F.array(F.lit(0).cast("long")))
+        dealt = dealt.join(crowds, ["kind", "part"], "left").select("fp", "kind", "part", "crowd", F.posexplode(sub).alias("i", "m")).select(
+            "fp", F.when(F.col("crowd"), F.col("kind") * 64 + F.col("i") + 1).otherwise(F.col("kind")).alias("kind"),
+            F.col("part").bitwiseOR(F.col("fp").bitwiseAND(F.col("m"))).alias("part"),
+        )
     dealt = dealt.repartition("kind", "part").sortWithinPartitions("kind", "part")
 
     def run(batches):
