@@ -70,6 +70,13 @@ class PqIndex:
         self.cuts = list(range(0, sample.shape[1], SUBSPACE)) + [sample.shape[1]]
         self.books = [_kmeans(residual[:, a:b], CODES, 6, seed + a) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    @classmethod
+    def of(cls, state: dict) -> "PqIndex":
+        """An index from its attributes: plain arrays travel to workers that lack this package."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Squared distances to the coarse centroids."""
         return np.maximum((x * x).sum(axis=1)[:, None] + (self.coarse * self.coarse).sum(axis=1) - 2 * (x @ self.coarse.T), 0)
@@ -210,10 +217,10 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, tail: float
     lists = int(min(MAX_LISTS, max(1, n // CLASSES_A_LIST), max(1, len(unit) // 4)))
     index = PqIndex(unit, lists)
     index.learn_reach(unit, sample.column("mark").to_numpy(), radius, tail)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(vars(index))
 
     def place(batches):
-        pq = shared.value
+        pq = PqIndex.of(shared.value)
         for b in batches:
             size = b.column("dims").to_numpy(zero_copy_only=False)
             home, probed = np.full(b.num_rows, -1, np.int32), [[-1]] * b.num_rows  # lengths the index wasn't fitted on share a list of their own
@@ -249,7 +256,7 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, tail: float
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "class")
 
     def search(t: pa.Table):
-        pq = shared.value
+        pq = PqIndex.of(shared.value)
         lst, block, part = (t.column(k)[0].as_py() for k in keys[2:])
         x, _ = _units(t.column("embedding").combine_chunks())
         ids = t.column("class").to_numpy()
