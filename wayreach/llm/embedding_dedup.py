@@ -39,6 +39,8 @@ CODES = 64
 #: Classes of a block and searchers of a part, at least and at most: a list's quarters between these.
 BLOCK_CLASSES = (256, 4_096)
 PART_CLASSES = (256, 16_384)
+#: Numbers of an array that a step of the search works on: distances of searchers to codes, components of pairs.
+HELD = 1 << 20
 #: The part of sampled displacements along planes' normals that may exceed what is probed for.
 TAIL = 0.005
 #: Sampled classes of a label, or displacements of a list, under which no quantile is taken of it.
@@ -273,7 +275,7 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, tail: float
             back[np.repeat(np.arange(len(stored)), each.value_lengths().to_numpy()), each.flatten().to_numpy()] = True
 
         def pairs():
-            step = max(1, (1 << 22) // max(1, len(stored)))
+            step, some = max(1, HELD // max(1, len(stored))), max(1, HELD // max(1, x.shape[1]))
             for lo in range(0, len(seeking) if len(stored) else 0, step):
                 q = seeking[lo : lo + step]
                 if fitted:
@@ -282,8 +284,8 @@ def embedding_links(vectors: DataFrame, least_cosine: float = 0.93, tail: float
                 else:
                     a, s = np.nonzero(x[q] @ x[stored].T >= least_cosine - 1e-6)
                 a, b = q[a], stored[s]
-                for at in range(0, len(a), 1 << 18):
-                    i, j, k = a[at : at + (1 << 18)], b[at : at + (1 << 18)], s[at : at + (1 << 18)]
+                for at in range(0, len(a), some):
+                    i, j, k = a[at : at + some], b[at : at + some], s[at : at + some]
                     sure = (i != j) & (np.einsum("ij,ij->i", x[i], x[j]) >= least_cosine)
                     i, j, k = i[sure], j[sure], k[sure]
                     np.add.at(links, i, copies[j])
