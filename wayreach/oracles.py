@@ -40,6 +40,7 @@ _BASE = {
       FROM dem2 d JOIN (SELECT ubigeo, count(*) AS n_points_district,
         coalesce(sum(CASE WHEN is_capital OR population >= 2000 THEN population END), 0) / CAST(sum(population) AS DOUBLE) AS direct_pop_coverage
         FROM dem2 GROUP BY ubigeo) USING (ubigeo)""",
+    "cert": f"SELECT demand_id FROM dem0 WHERE is_capital OR population >= {SAMPLE.certainty_population} ORDER BY population DESC, demand_id LIMIT {SAMPLE.max_demand_points}",
     "fac": """SELECT s_suppkey AS facility_id, s_name AS name, lpad(CAST(s_nationkey AS VARCHAR), 6, '0') AS ubigeo,
       -81.4e0 + (s_suppkey * 6131 % 997) / 997e0 * 12.8e0 AS lon, -18.4e0 + (s_suppkey * 3571 % 991) / 991e0 * 18.36e0 AS lat,
       list_extract(['II-1','II-2','II-E','III-1','III-2','III-E','I-3','I-4','I-1','0'], CAST(s_suppkey % 10 + 1 AS INTEGER)) AS category,
@@ -147,7 +148,7 @@ _POOL = {
       UNION ALL SELECT orden, facility_id, gain, list_concat(seen, own) FROM (SELECT g.orden + 1 AS orden, p.facility_id, sum(design_weight) AS gain, list(p.demand_id) AS own, any_value(g.seen) AS seen
         FROM greedy g JOIN pool p ON NOT list_contains(g.seen, p.demand_id) WHERE g.orden < {max(DEFAULT.budgets)} GROUP BY g.orden, p.facility_id)
         QUALIFY row_number() OVER (ORDER BY gain DESC, facility_id) = 1""",
-    "seq": "SELECT orden, facility_id, gain FROM greedy WHERE orden > 0",
+    "seq": "SELECT CAST(orden AS INTEGER) AS orden, facility_id, gain FROM greedy WHERE orden > 0",
     "base": f"SELECT {_upto(_MINUTES)} AS covered, {_W} AS total FROM acc",
 }
 
@@ -175,7 +176,7 @@ def _quota(strata: str, slots: str) -> dict:
 
 
 _STRATA = "SELECT ubigeo || '|' || area_type AS stratum, sum(population) AS pop, count(*) AS size FROM {} GROUP BY 1"
-_CERTAIN = f"is_capital OR population >= {SAMPLE.certainty_population}"
+_CERTAIN = "demand_id IN (SELECT demand_id FROM cert)"
 _U = f"(CAST(('0x' || substr(md5('{DEFAULT.seed}:' || CAST(demand_id AS VARCHAR)), 1, 8)) AS BIGINT) + 1) / 4294967296e0"
 
 _WAYS = {
@@ -494,7 +495,8 @@ def _needed(ctes: dict, body: str) -> dict:
     return {k: v for k, v in everything.items() if k in seen}
 
 
-def _sql(name: str, ctes: dict, body: str) -> str:
+def _sql(name: str, ctes: dict, body: str, exact: bool = False) -> str:
+    """A query's SQL; ``exact`` leaves its doubles unrounded."""
     needed = _needed({k.split(" ")[0]: v for k, v in ctes.items()}, body)
     full = {k.split(" ")[0]: k for k in ctes}
     head = ",\n".join(f"{full.get(k, k)} AS ({v})" for k, v in needed.items())
@@ -504,12 +506,12 @@ def _sql(name: str, ctes: dict, body: str) -> str:
     for item in COLUMNS[name].split():
         c, _, digits = item.partition(":")
         quoted = f'"{c}"' if c == "check" else c
-        columns.append(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" if digits else quoted)
+        columns.append(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" if digits and not exact else quoted)
     return (f"WITH {head}\n" if head else "") + f"SELECT {', '.join(columns)} FROM ({body}) result"
 
 
-def _kpis(sql: dict) -> str:
-    """The formatted figures from the other queries' results."""
+def _kpis(queries: dict) -> str:
+    """The formatted figures from the other queries' results, these not rounded before."""
     thousands, one = "format('{{:,}}', CAST(round({}) AS BIGINT))".format, "printf('%.1f', {})".format
     whole, title = "CAST(CAST({} AS BIGINT) AS VARCHAR)".format, "array_to_string(list_transform(regexp_extract_all(lower({}), '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda p: upper(p[1]) || p[2:]), '')".format
     parts = {
@@ -540,8 +542,8 @@ def _kpis(sql: dict) -> str:
     said = " UNION ALL ".join(f"SELECT '{k}' AS kpi, {v} AS valor FROM {t}" for t, k, v in rows)
     reached = "sum(t_medio_min * poblacion_con_ruta) / sum(CASE WHEN t_medio_min IS NOT NULL THEN poblacion_con_ruta END)"
     said += f" UNION ALL SELECT 'TiempoMedio' || upper(area_type[1]) || lower(area_type[2:]), {one(reached)} FROM con GROUP BY area_type"
-    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({sql[q]})" for k, q in parts.items()) + f" SELECT kpi, valor FROM ({said}) x"
+    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({_sql(q, *queries[q], exact=True)})" for k, q in parts.items()) + f" SELECT kpi, valor FROM ({said}) x"
 
 
-ORACLES = {name: _sql(name, *parts) for name, parts in _queries().items()}
-ORACLES["kpis"] = _kpis(ORACLES)
+_QUERIES = _queries()
+ORACLES = {name: _sql(name, *parts) for name, parts in _QUERIES.items()} | {"kpis": _kpis(_QUERIES)}
