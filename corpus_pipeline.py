@@ -16,8 +16,8 @@ from wayreach.llm.byte_bpe import byte_bpe
 from wayreach.llm.common import documents, written
 from wayreach.llm.line_dedup import line_dedup
 from wayreach.llm.mixing import WORD, plan_mix, text_digest
+from wayreach.llm.near_duplicates import similar_components
 from wayreach.llm.quality import fit_quality, score_quality
-from wayreach.llm.simhash import simhash_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,10 +51,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays.
 
-    Repeated rows of it become one.  Rows with a null doc_id have no rank in a group
+    Near duplicates have a Jaccard similarity of 0.8 or more of their sets of five-word
+    shingles, or are joined by others that have.  Repeated rows of a document become one.  Rows with a null doc_id have no rank in a group
     and stay, each text once.
     """
-    groups = simhash_components(docs)
+    groups = similar_components(docs, shingle=5, similarity=0.8)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.select(*COLUMNS)
     rows = rows.join(kept, rows.doc_id == F.col("__kept"), "left").where("__kept is not null or doc_id is null")

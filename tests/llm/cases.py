@@ -39,3 +39,21 @@ def components(n, links):
         if x != y:
             up[max(x, y)] = min(x, y)
     return [find(i) for i in range(n)]
+
+
+def similar_groups(texts, size=5, similarity=0.8):
+    """{id: least id joined to it} by the exact similarity of all pairs of texts that share a shingle."""
+    from collections import Counter, defaultdict
+
+    ids, sets, held = sorted(texts), [], defaultdict(list)
+    for n, i in enumerate(ids):
+        words = (texts[i] or "").encode().lower().split()
+        k = min(size, len(words)) or 1
+        sets.append({b" ".join(words[p : p + k]) for p in range(len(words) - k + 1)} or {b""})
+        for x in sets[n]:
+            held[x].append(n)
+    links = []
+    for n, mine in enumerate(sets):
+        shared = Counter(m for x in mine for m in held[x] if m < n)
+        links += [(n, m) for m, c in shared.items() if c >= similarity * (len(mine) + len(sets[m]) - c)]
+    return {i: ids[r] for i, r in zip(ids, components(len(ids), links))}

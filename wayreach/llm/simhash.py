@@ -29,29 +29,44 @@ PIECE = 1 << 16
 HELD_PAIRS = 1 << 22
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 values of the text's word shingles; 0 without words.
+def shingles(text: str | None, size: int):
+    """The words joined by a space, and the XXH64 values of their shingles, 65,536 at a time.
 
-    Shingles stream through in pieces of 65,536, so a very long text needs no more
-    memory than its words do.
+    A-Z are lower-cased.  Fewer words than a shingle has are one shingle; no words, none.
+    A very long text needs no more memory than its words do.
     """
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    k = min(shingle, len(words))
-    first, last = starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(first), PIECE):
-        h = [digest(line[s:e], 42) for s, e in zip(first[at : at + PIECE], last[at : at + PIECE])]
-        bits = np.unpackbits(np.array(h, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big")
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+
+    def pieces():
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        k = min(size, len(words))
+        first, last = starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
+        for at in range(0, len(first), PIECE):
+            yield np.array([digest(line[s:e], 42) for s, e in zip(first[at : at + PIECE], last[at : at + PIECE])], np.uint64)
+
+    return line, pieces() if words else iter(())
+
+
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the values have each bit set, from the top bit."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` values have set."""
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Majority bits of the XXH64 values of the text's word shingles; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, shingle)[1]:
+        ones, n = ones + set_bits(h), n + len(h)
+    return majority(ones, n)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
