@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from cases import documents, similar_groups
 
+from wayreach.llm import near_duplicates
 from wayreach.llm.near_duplicates import is_similar, join_nearest, similar_components
 
 
@@ -62,6 +63,24 @@ def test_awkward_rows(spark):
     assert similar_components(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 50])
+def test_groups_just_below_and_above(monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "FEW_PAIRS", few)
+    r = random.Random(3)
+    base, texts = [f"w{r.randrange(9999)}" for _ in range(200)], []
+    for n in range(150):
+        texts.append(edited(base, r.randint(2, 6), r))
+    expected = similar_groups(dict(enumerate(texts)))
+    made = [near_duplicates.sketch(t, 5) for t in texts]
+    sets = [np.unique((near_duplicates.shingle_set(t, 5)[1] >> np.uint64(32)).astype("<u4")) for t in texts]
+    monkeypatch.setattr(near_duplicates, "DISTANCE", 64)
+    monkeypatch.setattr(near_duplicates, "STEPS", (16, 64))
+    fp, label = np.array([f for _, f, _ in made], np.uint64), np.arange(150)
+    for a, b in near_duplicates.exact_links(np.zeros(150, np.int64), fp, sets, 0.8):
+        label = join_nearest(label, a, b)[0]
+    assert dict(enumerate(label.tolist())) == expected and 1 < len(set(expected.values())) < 150
+
+
 def test_a_forest_of_pairs():
     left, right = np.array([1, 0, 0, 3, 2]), np.array([2, 2, 1, 4, 1])
     label, at = join_nearest(np.arange(5), left, right)

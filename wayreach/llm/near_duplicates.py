@@ -14,6 +14,8 @@ whatever the number of links.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, written
 from .components import connected_components, spanning_rows
-from .simhash import GrayIndex, _pairs, gray_rank, majority, set_bits, shingles
+from .simhash import HELD_PAIRS, GrayIndex, gray_rank, majority, set_bits, shingles
 
 #: Keys of a level, and least hashes in a key: a pair at 0.8 shares one with a probability of 0.998.
 BANDS, ROWS = 12, 4
@@ -31,6 +33,8 @@ DISTANCE = 20
 STEPS = (4, 8, 12, 16, DISTANCE)
 #: Members beyond which a deal is dealt out again, and how often that is done.
 CROWDED, FINER = 2048, 2
+#: Forests of pairs that are checked pair by pair, and the pairs of a row that are always checked so.
+FOREST_ROUNDS, FEW_PAIRS = 3, 50
 #: Hashes whose products are held at a time.
 HELD_HASHES = 4096
 
@@ -117,45 +121,130 @@ def is_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared)
 
 
-def _sorted_index(deal: np.ndarray, fp: np.ndarray):
-    """The order by (deal, Gray rank), and in that order fingerprints, deal numbers and the index."""
-    order = np.lexsort((gray_rank(fp), deal))
-    deal, fp = deal[order], fp[order]
-    new = np.concatenate([[True], deal[1:] != deal[:-1]])
-    return order, fp, np.cumsum(new) - 1, GrayIndex(fp, np.flatnonzero(new))
+class Deals:
+    """Rows of some deals in the order of deal and Gray rank, with an index over each deal."""
+
+    def __init__(self, deal: np.ndarray, fp: np.ndarray):
+        self.order = np.lexsort((gray_rank(fp), deal))
+        deal, self.fp = deal[self.order], fp[self.order]
+        new = np.concatenate([[True], deal[1:] != deal[:-1]])
+        self.number, self.start = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.index = GrayIndex(self.fp, self.start)
+
+    def apart(self, q, x):
+        return np.bitwise_count(self.fp[q] ^ self.fp[x])
+
+    def first_pairs(self):
+        """Each row with its deal's row nearest to the deal's majority bits, and neighbours in Gray order."""
+        rows, n = np.arange(len(self.fp)), np.diff(np.append(self.start, len(self.fp)))
+        bits = np.unpackbits(self.fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, self.start, axis=0, dtype=np.int64)
+        middle = np.packbits(ones * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        centre = np.lexsort((np.bitwise_count(self.fp ^ middle[self.number]), self.number))[self.start][self.number]
+        q, x = np.concatenate([rows, rows[:-1]]), np.concatenate([centre, rows[1:]])
+        good = (q != x) & (self.number[q] == self.number[x])
+        q, x = q[good], x[good]
+        good = self.apart(q, x) <= DISTANCE
+        return q[good], x[good]
+
+    def pairs(self, distance: int, label: np.ndarray):
+        """Pairs within ``distance``, but for those inside the largest component of a deal."""
+        size = np.bincount(label, minlength=len(label))
+        largest = np.lexsort((-size, self.number))[self.start]
+        asking = label != largest[self.number]
+        ask = np.flatnonzero(asking)
+        held = np.cumsum(np.bincount(self.number)[self.number[ask]])
+        at = 0
+        while at < len(ask):
+            to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + HELD_PAIRS, "right")))
+            q, x = self.index.search(self.fp[ask[at:to]], self.number[ask[at:to]], distance)
+            q = ask[at:to][q]
+            once = (q < x) | ~asking[x]
+            yield q[once], x[once]
+            at = to
+
+
+class SharedCounts:
+    """How many shingles a row shares with each row of its deal."""
+
+    def __init__(self, deals: Deals, sets):
+        self.deals, self.sets = deals, [sets[i] for i in deals.order]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        self.deal = None
+
+    def shared(self, row: int, deal: int) -> np.ndarray:
+        first = self.deals.start[deal]
+        if deal != self.deal:
+            last = self.deals.start[deal + 1] if deal + 1 < len(self.deals.start) else len(self.sets)
+            self.edge = np.concatenate([[0], np.cumsum(self.size[first:last])])
+            values, self.code = np.unique(np.concatenate(self.sets[first:last]), return_inverse=True)
+            self.mark, self.deal = np.zeros(len(values), bool), deal
+        mine = self.code[self.edge[row - first] : self.edge[row - first + 1]]
+        self.mark[mine] = True
+        upto = np.concatenate([[0], np.cumsum(self.mark[self.code])])
+        self.mark[mine] = False
+        return np.diff(upto[self.edge])
 
 
 def near_groups(deal: np.ndarray, fp: np.ndarray):
     """Rows that have others within ``DISTANCE`` in their deal, and a deal for each group of these."""
-    order, fps, number, index = _sorted_index(deal, fp)
-    label = spanning_rows(len(fps), _pairs(fps, number, index, DISTANCE))
+    deals = Deals(deal, fp)
+    first = deals.first_pairs()
+    label = spanning_rows(len(fp), [first])
+    label = spanning_rows(len(fp), itertools.chain([first], deals.pairs(DISTANCE, label)))
     near = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
     root = label[near]
-    return order[near], mix64(mix64(deal[order[root]].view(np.uint64)) ^ fps[root]).view(np.int64)
+    return deals.order[near], mix64(mix64(deal[deals.order[root]].view(np.uint64)) ^ deals.fp[root]).view(np.int64)
 
 
 def exact_links(deal: np.ndarray, fp: np.ndarray, sets, similarity: float):
     """Index pairs that join rows of a deal at or above ``similarity`` into their components.
 
     Every pair within ``DISTANCE`` is either checked by its sets or has been joined
-    through others before.  Near pairs are checked first, so few are in a group of copies.
+    through others before.  Likely and near pairs are checked first, and rows of a
+    deal's largest component search for none, so few are checked in a group of copies.
     """
-    order, fps, number, index = _sorted_index(deal, fp)
-    label = np.arange(len(fps))
-    for step in STEPS:
-        for q, x in _pairs(fps, number, index, step):
-            nearest = np.argsort(np.bitwise_count(fps[q] ^ fps[x]), kind="stable")
-            q, x = q[nearest], x[nearest]
-            while True:
-                apart = label[q] != label[x]
-                q, x = q[apart], x[apart]
-                if not len(q):
-                    break
-                at = join_nearest(label, q, x)[1]
-                good = at[[is_similar(sets[order[i]], sets[order[j]], similarity) for i, j in zip(q[at].tolist(), x[at].tolist())]]
-                label = join_nearest(label, q[good], x[good])[0]
-                yield order[q[good]], order[x[good]]
-                q, x = np.delete(q, at), np.delete(x, at)
+    deals = Deals(deal, fp)
+    order, label = deals.order, np.arange(len(fp))
+
+    def link(q, x):
+        nonlocal label
+        label, at = join_nearest(label, q, x)
+        return order[q[at]], order[x[at]]
+
+    def settle(q, x):
+        nearest = np.argsort(deals.apart(q, x), kind="stable")
+        q, x = q[nearest], x[nearest]
+        for _ in range(FOREST_ROUNDS):
+            apart = label[q] != label[x]
+            q, x = q[apart], x[apart]
+            if not len(q):
+                return
+            at = join_nearest(label, q, x)[1]
+            good = at[[is_similar(sets[order[i]], sets[order[j]], similarity) for i, j in zip(q[at].tolist(), x[at].tolist())]]
+            yield link(q[good], x[good])
+            q, x = np.delete(q, at), np.delete(x, at)
+        # Many pairs that look alike are not similar: the rest of a row's pairs are counted at once.
+        by_row = np.argsort(q, kind="stable")
+        q, x = q[by_row], x[by_row]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])), len(q)) if len(q) else [0]
+        for i, j in itertools.pairwise(edge):
+            row, others = q[i], x[i:j][label[x[i:j]] != label[q[i]]]
+            if len(others) < FEW_PAIRS:
+                good = [k for k in others.tolist() if is_similar(sets[order[row]], sets[order[k]], similarity)]
+                good = np.array(good, np.int64)
+            else:
+                shared = counts.shared(row, deals.number[row])[others - deals.start[deals.number[row]]]
+                good = others[shared >= similarity * (counts.size[row] + counts.size[others] - shared)]
+            if len(good):
+                yield link(np.full(len(good), row), good)
+
+    counts = SharedCounts(deals, sets)
+    yield from settle(*deals.first_pairs())
+    for before, step in itertools.pairwise((-1, *STEPS)):
+        for q, x in deals.pairs(step, label):
+            fresh = deals.apart(q, x) > before
+            yield from settle(q[fresh], x[fresh])
 
 
 def _by_deal(rows: DataFrame, work, schema: str) -> DataFrame:
