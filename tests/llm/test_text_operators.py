@@ -93,6 +93,27 @@ def test_a_passage_in_a_crowd_of_documents(spark, monkeypatch):
     assert len(indexed) == 2 and table.n.max() >= 1 and indexed[0].agg({"n": "max"}).first()[0] >= 121
 
 
+def test_a_place_of_a_crowded_context_stays_one_row(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_CONTEXTS", 10)
+    rng = np.random.default_rng(3)
+    base = rng.choice(list("abcdefgh é"), 900)
+    rows = []
+    for i in range(80):  # near copies, and now and then one twice in a text
+        text = base.copy()
+        text[rng.integers(0, 900, 2)] = rng.choice(list("XYZUVW"), 2)
+        rows.append((i, "".join(text) * (1 + (i % 20 == 0)), "en", "s"))
+    d = documents(spark, rows)
+    moved = []
+    real = suffix_dedup._moved
+    monkeypatch.setattr(suffix_dedup, "_moved", lambda r: (moved.append((r, real(r))), moved[-1][1])[1])
+    expected = suffix_reference([(r.doc_id, r.text, None) for r in d.collect()], 200)
+    assert rows_of(suffix_dedup.suffix_dedup(d)) == sorted(expected)
+    (given, made), = moved
+    # Stretches and single windows decide pieces of a context; its places are not multiplied by them.
+    assert 0 < made.count() == given.select("name", "key").distinct().count()
+
+
 def test_suffix_dedup_keeps_text_and_spans(spark):
     d = documents(spark, [(1, "x" + "q" * 250, "en", "s"), (2, "short", "en", "s")])
     got = {r.doc_id: (bytes(r.kept), list(r.spans)) for r in suffix_dedup.suffix_dedup(d, with_text=True).collect()}
