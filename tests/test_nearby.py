@@ -69,3 +69,41 @@ def test_the_roads_keep_their_bounds(spark, sf):
     ratio = F.col("minutes") / F.col("straight_km")
     one = catalog.road_table(spark, sf).where("minutes is not null and straight_km > 0").agg(F.min(ratio).alias("a"), F.max(ratio).alias("b")).first()
     assert least * (1 - 1e-12) <= one.a and one.b <= most * (1 + 1e-12)
+
+
+def test_years_modes_and_secondary_facilities_make_few_pairs(spark):
+    dated, every = catalog.dated_table(spark, MID), catalog.road_table(spark, MID)
+    assert "NestedLoop" not in plan(dated) and dated.count() < 90_000 / 2
+    places, points = star.facilities(spark, MID), catalog.demand(spark, MID)
+    shaped = lambda name, df: rows(catalog.shaped(name, df))
+    assert shaped("temporal", catalog.metrics.temporal(points, dated, places)) == shaped("temporal", catalog.metrics.temporal(points, every, places))
+    assert shaped("straight_vs_network", od.straight_vs_network(catalog.near_table(spark, MID), points)) == shaped("straight_vs_network", od.straight_vs_network(every, points))
+    turn = F.lit(5.0) + ((F.col("demand_id") * 13 + F.col("facility_id") * 7) % 40) / F.lit(20.0)
+    assert rows(od.nearest(catalog.walk_table(spark, MID)).drop("km_red")) == rows(od.nearest(every.withColumn("minutes", F.col("minutes") * turn)).drop("km_red"))
+    found = catalog.secondary_destinations(spark, MID)
+    assert "NestedLoop" not in plan(found) and rows(found) == rows(od.secondary_destinations(every, od.secondary_points(points)))
+
+
+def test_imputation_counts_every_pair_without_making_any(spark, sf, tmp_path):
+    for t in ("nation", "region", "supplier", "customer"):
+        part = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t in ("supplier", "customer"):
+            key = f"{t[0]}_{t[:4]}key"
+            part = part.unionByName(part.limit(5)).unionByName(part.withColumn(key, F.col(key) + 987_654))
+            part = part.unionByName(part.withColumn(key, -F.col(key))) if t == "customer" else part
+        part.write.parquet(f"{tmp_path}/{t}.parquet")
+    for d in (sf, MID, str(tmp_path)):
+        assert catalog.od_imputation(spark, d).first().asDict() == od.imputation_report(catalog.road_table(spark, d)).first().asDict()
+    none = star.facilities(spark, sf).withColumn("class", star.route_class(F.col("facility_id"))).limit(0)
+    points = star.demand(spark, sf).withColumn("class", star.route_class(F.col("demand_id")))
+    empty = od.with_fallback(star.routed(od.all_pairs(points, none)))
+    assert od.imputation_by_class(points, none, star.has_route, empty).first().asDict() == od.imputation_report(empty).first().asDict()
+
+
+def test_catchments_stream_their_pairs(spark):
+    access, places = catalog.access(spark, MID), star.facilities(spark, MID)
+    wide = catalog.replace(catalog.DEFAULT, catchment_minutes=240.0)
+    near = catalog.models.sfca_points(access, catalog.reach_table(spark, MID, 240.0), places, wide)
+    assert "NestedLoop" not in plan(near)
+    shaped = lambda df: rows(catalog.shaped("sfca_points", df))
+    assert shaped(near) == shaped(catalog.models.sfca_points(access, catalog.road_table(spark, MID), places, wide))
