@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayreach import catalog
 from wayreach.functions.geo import haversine_km
 from wayreach.operators import od
+from wayreach.plans.lineage import cut
 from wayreach.sources import star
 
 MID = "/root/testdata/sf0.01"
@@ -107,3 +108,28 @@ def test_catchments_stream_their_pairs(spark):
     assert "NestedLoop" not in plan(near)
     shaped = lambda df: rows(catalog.shaped("sfca_points", df))
     assert shaped(near) == shaped(catalog.models.sfca_points(access, catalog.road_table(spark, MID), places, wide))
+
+
+def test_snapping_by_tree_is_that_by_cells(spark, sf, monkeypatch):
+    graph = catalog.graph
+    nodes = cut(graph.node_points(catalog.edges(spark, sf)))
+    points = star.demand(spark, sf).select("demand_id", "lon", "lat").unionByName(spark.createDataFrame([(900, -79.95, -15.0), (901, -79.95, -14.95), (902, None, 1.0)], "demand_id long, lon double, lat double"))
+    found = graph.snap(points, nodes, "demand_id")
+    assert "NestedLoop" not in plan(found)
+    got = rows(found)
+    monkeypatch.setattr(graph, "WHOLE_GRAPH_EDGES", 0)
+    assert got == rows(graph.snap(points, nodes, "demand_id"))
+
+
+def test_graph_pairs_are_not_joined(spark, sf, monkeypatch):
+    backends, graph = catalog.backends, catalog.graph
+    points, places = star.demand(spark, sf).drop("snap_m"), star.facilities(spark, sf).where("is_resolutive")
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", 2)
+    made = backends.routed_pairs(backends.get_backend("graph", catalog.ways(spark, sf)), points, places, "car")
+    known = backends.get_backend("graph", catalog.ways(spark, sf))
+
+    class Table:
+        table = staticmethod(known.table)
+
+    columns = ["demand_id", "facility_id", "minutes", "km", "imputed", "snap_m", "straight_km", "profile"]
+    assert rows(made.select(columns)) == rows(backends.routed_pairs(Table(), points, places, "car").select(columns))
